@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, simhash
+from . import mixing, packing, simhash
 from .common import table
 
 
@@ -16,6 +16,7 @@ def _on(name: str, op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSessi
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": _on("documents", packing.op1),
+    "op7_mixing": _on("documents", mixing.op7),
     "op10_simhash": _on("documents", simhash.op10),
 }
 
