@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, pii, simhash
+from . import mixing, packing, pii, simhash, toxicity
 from .common import table
 
 
@@ -16,6 +16,7 @@ def _on(name: str, op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSessi
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": _on("documents", packing.op1),
+    "op3_toxicity": lambda spark, sf_dir: toxicity.op3(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op4_pii": _on("documents", pii.op4),
     "op7_mixing": _on("documents", mixing.op7),
     "op10_simhash": _on("documents", simhash.op10),
