@@ -6,8 +6,9 @@ vector v keeps bit i if <code(i), v> = 1. For any r bits some v is orthogonal to
 differs in at most r bits agrees on all that this table keeps: every such pair meets, whatever the data.
 
 Only distinct fingerprints are compared. A bucket gives links that join its connected parts (never all pairs).
-A bucket of over BUCKET fingerprints is dealt again by three segments of the bits that its table drops: at a
-distance of at most r < 3 some segment agrees, and the sub-bucket shares so many bits that its size is bounded.
+A bucket of over BUCKET fingerprints is dealt again by r+1 segments of the bits that its table drops: at a distance
+of at most r some segment agrees, and what shares that many bits is few; there, at r <= 2, a fingerprint's neighbours
+are looked up by turning bits over.
 
 Defined cases: a null text is the empty text; no words give fingerprint zero, linked like any other; fewer words
 than a shingle give one shingle of them all; rows with a null doc_id are kept and count in no minimum; repeated
@@ -97,43 +98,33 @@ def near_in(fps: np.ndarray, radius: int, free: int | None = None) -> list[tuple
     """Links that join what is connected at distance <= radius within a bucket: at most len(fps) - 1."""
     fps = np.unique(fps)
     n = len(fps)
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    links = []
-
-    def join(a: int, b: int) -> None:
-        ra, rb = root(a), root(b)
-        if ra != rb:
-            parent[max(ra, rb)] = min(ra, rb)
-            links.append((int(fps[a]), int(fps[b])))
-
     u = fps.view(np.uint64)
-    if n <= BUCKET or free is None:
-        step = max(1, 4_000_000 // max(n, 1))
-        for at in range(0, n, step):
-            close = np.bitwise_count(u[at : at + step, None] ^ u[None, :]) <= radius
-            for a, b in zip(*np.nonzero(close)):
-                if a + at < b:
-                    join(int(a) + at, int(b))
-        return links
-    bits = [np.uint64(1 << i) for i in range(64) if free >> i & 1]
-    flips = {0: [np.uint64(0)]}
-    for r in range(1, radius + 1):
-        flips[r] = [x | b for x in flips[r - 1] for b in bits if b > x]
-    order = np.argsort(u)
-    ranked = u[order]
-    for r in range(1, radius + 1):
-        for flip in flips[r]:
-            other = u ^ flip
-            at = np.minimum(np.searchsorted(ranked, other), n - 1)
-            for a in np.nonzero((ranked[at] == other) & (other > u))[0]:
-                join(int(a), int(order[at[a]]))
+    flips = None
+    if n > BUCKET and free is not None and radius <= 2:
+        bits = [np.uint64(1 << i) for i in range(64) if free >> i & 1]
+        flips = [a | b for a in [np.uint64(0), *bits] for b in bits if radius == 2 or not a]
+        flips = np.unique(np.array(flips, np.uint64))
+        order = np.argsort(u)
+        ranked = u[order]
+    left = np.ones(n, bool)
+    links = []
+    for first in range(n):
+        if not left[first]:
+            continue
+        left[first] = False
+        todo = [first]
+        while todo:
+            a = todo.pop()
+            if flips is None:
+                near = np.flatnonzero(left & (np.bitwise_count(u ^ u[a]) <= radius))
+            else:
+                wanted = flips ^ u[a]
+                at = np.minimum(np.searchsorted(ranked, wanted), n - 1)
+                near = order[at[ranked[at] == wanted]]
+                near = near[left[near]]
+            left[near] = False
+            links += [(int(fps[a]), int(fps[b])) for b in near]
+            todo += near.tolist()
     return links
 
 
@@ -195,5 +186,20 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
     return prints.join(of, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def keep_first(docs: DataFrame, width: int = 5, radius: int = 5) -> DataFrame:
+    """docs with one document of each group, that of the smallest doc_id; of repeated rows with it one stays.
+
+    Links at `radius` bits mean an estimated cosine of shingle sets of cos(pi radius / 64) or more. Rows with a null
+    doc_id stay.
+    """
+    found = near_duplicates(docs, width, radius)
+    kept = written(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    once = rows.join(kept.where("n = 1"), "doc_id", "left_semi").select("row").unionAll(rows.where("doc_id is null").select("row"))
+    if not kept.where("n > 1").isEmpty():
+        once = once.unionAll(rows.join(kept.where("n > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("row"))
+    return once.select("row.*")
+
+
 def op10(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs, 3, 2).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -94,3 +94,12 @@ def test_hot_bucket(spark, bucket):
     assert parts([(r.a & m, r.b & m) for r in links]) == want
     big = np.array([S._signed(f) for f in fps], np.int64)
     assert parts([(a & m, b & m) for a, b in S.near_in(big, 2)]) == want
+
+
+def test_keep_first(spark):
+    text = " ".join(f"w{i}" for i in range(300))
+    rows = [(5, text, "a"), (3, text, "b"), (3, text, "b"), (9, text.replace("w150 ", "zz "), "c"), (7, "quite another text of some length here", None), (None, text, "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    out = S.keep_first(df)
+    assert out.columns == df.columns
+    assert sorted((r.doc_id for r in out.collect()), key=str) == [3, 7, None]
