@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, pii, simhash, substring, suffix_dedup, toxicity
+from . import cover, mixing, packing, pii, simhash, substring, suffix_dedup, toxicity
 from .common import table
 
 
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": lambda spark, sf_dir: toxicity.op3(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op4_pii": _on("documents", pii.op4),
     "op5_substring": _on("documents", substring.op5),
+    "op6_cover": _on("embeddings", cover.op6),
     "op7_mixing": _on("documents", mixing.op7),
     "op8_suffix": _on("documents", suffix_dedup.op8),
     "op10_simhash": _on("documents", simhash.op10),
