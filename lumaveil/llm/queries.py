@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cover, mixing, packing, pii, simhash, substring, suffix_dedup, toxicity
+from . import cover, mixing, neighbours, packing, pii, simhash, substring, suffix_dedup, toxicity
 from .common import table
 
 
@@ -16,6 +16,7 @@ def _on(name: str, op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSessi
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": _on("documents", packing.op1),
+    "op2_neighbours": _on("embeddings", neighbours.op2),
     "op3_toxicity": lambda spark, sf_dir: toxicity.op3(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op4_pii": _on("documents", pii.op4),
     "op5_substring": _on("documents", substring.op5),
