@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cover, mixing, neighbours, packing, pii, simhash, substring, suffix_dedup, toxicity
+from . import cover, html, mixing, neighbours, packing, pii, simhash, substring, suffix_dedup, toxicity
 from .common import table
 
 
@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_cover": _on("embeddings", cover.op6),
     "op7_mixing": _on("documents", mixing.op7),
     "op8_suffix": _on("documents", suffix_dedup.op8),
+    "op9_html": _on("pages", html.op9),
     "op10_simhash": _on("documents", simhash.op10),
 }
 
