@@ -26,7 +26,7 @@ def _weighed(d: Column, weights: tuple[int, ...]) -> Column:
 
 def luhn(c: Column) -> Column:
     d = digits(c)
-    return F.char_length(d).between(13, 19) & F.luhn_check(d) if hasattr(F, "luhn_check") else F.char_length(d).between(13, 19) & F.call_function("luhn_check", d)
+    return F.char_length(d).between(13, 19) & F.call_function("luhn_check", d)
 
 
 def inn(c: Column) -> Column:
@@ -71,7 +71,7 @@ def real_date(year: Column, month: Column, day: Column) -> Column:
 
 
 def numeric_date(c: Column) -> Column:
-    p = F.transform(F.filter(F.split(F.trim(c), "[./-]"), lambda x: x != ""), lambda x: F.expr("try_cast(x as int)") if False else x.try_cast("int"))
+    p = F.transform(F.filter(F.split(F.trim(c), "[./-]"), lambda x: x != ""), lambda x: x.try_cast("int"))
     a, b, d = (F.try_element_at(p, F.lit(i)) for i in (1, 2, 3))
     ok = real_date(a, b, d) | real_date(d, a, b) | real_date(d, b, a) | real_date(a, d, b)
     return F.coalesce((F.size(p) == 3) & ok, F.lit(False))

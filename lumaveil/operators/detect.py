@@ -1,8 +1,9 @@
 """Detection as a DataFrame operator: text -> array of resolved spans.
 
-The rules and grammars need the words around a match, so they run in one Arrow function that sees each text once. What
-follows, resolving overlaps, telling dates apart and counting, is native. A prefilter keeps texts with nothing to find
-(no digit, no @, no Cyrillic, no capital pair) out of Python.
+The rules and grammars need the words around a match, so they run in one Arrow function that sees each text once and
+resolves overlaps as it goes. resolve and tell_dates are the same steps as native expressions, for spans from elsewhere
+(such as columns.find_spans). A prefilter keeps texts with nothing to find (no digit, no @, no Cyrillic, no capital
+pair) out of Python.
 """
 
 from __future__ import annotations
@@ -81,13 +82,60 @@ def raw_spans(text: str, registry: Registry) -> list[Span]:
     return [(a, b, c, d, f) for (a, b, c, d), f in seen.items()]
 
 
+def resolved(spans: list[Span], text: str) -> list[Span]:
+    """resolve of one text's spans."""
+    size = lambda s: len(text[s[0] : s[1]].encode())
+    kept: list[Span] = []
+    for s in sorted(spans, key=lambda s: (s[0], -s[1], -s[4], ORDER.index(s[3]) if s[3] in ORDER else -1)):
+        if not kept or s[0] >= kept[-1][1]:
+            kept.append(s)
+        elif s[4] > kept[-1][4] or s[4] == kept[-1][4] and size(s) > size(kept[-1]):
+            kept[-1] = s
+    return kept
+
+
+def dates_told(spans: list[Span], text: str) -> list[Span]:
+    """tell_dates of one text's spans."""
+    if not any(s[2] in ("date", "birth_date") for s in spans):
+        return spans
+    t = Text(text)
+    issuer_ends = [(s[0], s[1]) for s in spans if s[2] == "passport_issuer"]
+
+    def distance(window: str, words) -> int | None:
+        return min((len(window) - window.rfind(w) for w in words if w in window), default=None)
+
+    def category(s: Span) -> str:
+        a, b, own = s[0], s[1], s[2]
+        if own not in ("date", "birth_date"):
+            return own
+        window = t.before(a, 160)
+        other = any(w in window for w in OTHER_PAPERS) or left_word(t, a, 160, OTHER_PAPERS_WHOLE, date_gap=True) is not None
+        passed, birth = distance(window, ISSUE_WORDS), distance(window, BIRTH_WORDS)
+        issue = passed is not None or any(w in t.after(b, 40) for w in DIVISION_WORDS)
+        if issue and not other and not (birth is not None and (passed is None or birth < passed)):
+            return "passport_date"
+        if own == "date":
+            line = text[text.rfind("\n", 0, a) + 1 : text.find("\n", b) if "\n" in text[b:] else len(text)]
+            if "\t" in line and "дата рождения" in t.before(a, 200):
+                return "birth_date"
+            if any(a >= x and a - y <= 3 for x, y in issuer_ends):
+                return "passport_date"
+        return own
+
+    return [(s[0], s[1], category(s), s[3], s[4]) for s in spans]
+
+
+def spans_of(text: str, registry: Registry) -> list[Span]:
+    return dates_told(resolved(raw_spans(text, registry), text), text)
+
+
 def detect_udf(registry: Registry | None = None):
     registry = registry or default()
     names = [f.name for f in SPAN]
 
     @F.pandas_udf(SPANS)
     def detect(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else [dict(zip(names, s)) for s in raw_spans(t, registry)] for t in texts])
+        return pd.Series([None if t is None else [dict(zip(names, s)) for s in spans_of(t, registry)] for t in texts])
 
     return detect.asNondeterministic()  # so that its result is a column, not copied into expressions above
 
@@ -162,9 +210,7 @@ def detect(df: DataFrame, text: str = "text", registry: Registry | None = None)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     t = F.col(text)
     found = F.when(may_hold(t), detect_udf(registry)(F.when(may_hold(t), t)))
-    out = df.withColumn("spans", F.when(t.isNotNull(), F.coalesce(found, F.array().cast(SPANS))))
-    out = out.withColumn("spans", resolve(F.col("spans"), t))
-    return out.withColumn("spans", F.when(F.exists("spans", lambda s: s["category"].isin("date", "birth_date")), tell_dates(F.col("spans"), t)).otherwise(F.col("spans")))
+    return df.withColumn("spans", F.when(t.isNotNull(), F.coalesce(found, F.array().cast(SPANS))))
 
 
 def counts(df: DataFrame, key: str) -> DataFrame:
@@ -180,6 +226,6 @@ def register(spark: SparkSession) -> None:
     @F.udtf(returnType="start int, end int, category string, detector string, confidence double")
     class DetectPii:
         def eval(self, text: str):
-            yield from raw_spans(text, registry) if text is not None else []
+            yield from spans_of(text, registry) if text is not None else []
 
     spark.udtf.register("detect_pii_rows", DetectPii)

@@ -237,6 +237,29 @@ def put_masks_udf(texts: pd.Series, spans: pd.Series, strategies: pd.Series) ->
     return pd.DataFrame(rows, columns=["masked", "replacements"])
 
 
+def allowed(spans: list, categories, combos) -> list:
+    """policy.keep_categories of one text's spans."""
+    present = {s["category"] for s in spans}
+    wanted = set(categories) if categories is not None else set()
+    needs: dict[str, set] = {}
+    for r in combos if combos is not None else ():
+        needs.setdefault(r["category"], set(r["requires_any"]))
+    return [s for s in spans if (not wanted or s["category"] in wanted) and (s["category"] not in needs or needs[s["category"]] & present)]
+
+
+ALLOWED = T.StructType([*APPLIED.fields, T.StructField("found", T.IntegerType())])
+
+
+@F.pandas_udf(ALLOWED)
+def put_allowed_masks_udf(texts: pd.Series, spans: pd.Series, strategies: pd.Series, categories: pd.Series, combos: pd.Series) -> pd.DataFrame:
+    rows = []
+    for t, s, k, c, r in zip(texts, spans, strategies, categories, combos):
+        kept = None if t is None or s is None else allowed(list(s), c, r)
+        rows.append((None, None, None) if kept is None else (*put_masks(t, kept, k), len(kept)))
+    return pd.DataFrame(rows, columns=["masked", "replacements", "found"]).astype({"found": "Int32"})
+
+
+put_allowed_masks_udf = put_allowed_masks_udf.asNondeterministic()
 put_masks_udf = put_masks_udf.asNondeterministic()  # evaluated once, where it stands
 
 

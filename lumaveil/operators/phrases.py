@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import regex
 
 from .rules import Span, Text, birth_or_date, left_part, left_word, right_word
@@ -109,6 +111,7 @@ def is_patronymic(word: str) -> bool:
     return len(word) >= 6 and bool(PATRONYMIC.search(word.lower()))
 
 
+@lru_cache(maxsize=1 << 16)
 def _kinds(word: str) -> set[str]:
     if regex.fullmatch(r"\p{Lu}\.", word):
         return {"I"}
@@ -170,7 +173,11 @@ def names(t: Text) -> list[Span]:
 def holders(t: Text) -> list[Span]:
     from ..functions.validators import luhn
 
-    card = any(luhn(m.group()) for m in regex.finditer(r"[0-9](?:[ -]?[0-9]){12,18}", t.raw))
+    near = any(w in t.low for w in HOLDER_WORDS)
+    digits = regex.search(r"[0-9](?:[ -]?[0-9]){12}", t.raw)
+    if not near and not digits:
+        return []
+    card = digits is not None and any(luhn(m.group()) for m in regex.finditer(r"[0-9](?:[ -]?[0-9]){12,18}", t.raw))
     out = []
     for m in regex.finditer(r"(?<![A-Za-z])[A-Za-z]+(?:-[A-Za-z]+)?(?: [A-Za-z]+(?:-[A-Za-z]+)?){1,3}(?![A-Za-z])", t.raw):
         words = m.group().split(" ")

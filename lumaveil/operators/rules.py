@@ -60,6 +60,7 @@ class Text:
 
     def __init__(self, raw: str):
         self.raw = raw
+        self.regions: dict[str, list[tuple[int, int]]] = {}
         low = raw.lower()
         self.low = low if len(low) == len(raw) else "".join(c.lower() if len(c.lower()) == 1 else c for c in raw)
 
@@ -70,16 +71,17 @@ class Text:
         return self.low[at : at + n]
 
 
-@lru_cache(maxsize=None)
+@lru_cache(maxsize=4096)
 def _keywords(words: tuple[str, ...]):
     edge = "[a-zа-яё]"
     longest = "|".join(regex.escape(w) for w in sorted(set(words), key=len, reverse=True))
     return regex.compile(rf"(?<!{edge})(?:{longest})(?!{edge})")
 
 
-@lru_cache(maxsize=None)
-def _each(words: tuple[str, ...]):
-    return [_keywords((w,)) for w in dict.fromkeys(words)]
+def _present(window: str, words: tuple[str, ...]):
+    """The pattern of those keywords that the window holds at all; None without one."""
+    some = tuple(w for w in words if w in window)
+    return _keywords(some) if some else None
 
 
 def left_word(t: Text, at: int, n: int, words: tuple[str, ...], date_gap: bool = False) -> int | None:
@@ -87,19 +89,20 @@ def left_word(t: Text, at: int, n: int, words: tuple[str, ...], date_gap: bool =
 
     A date between the two breaks the tie, unless date_gap.
     """
-    if not words:
-        return None
     window = t.before(at, n)
-    best = max((m.end() for one in _each(words) for m in one.finditer(window, overlapped=True)), default=None)
+    one = _present(window, words)
+    if one is None:
+        return None
+    best = max((m.end() for m in one.finditer(window)), default=None)
     if best is None or not date_gap and compiled(_DATE_LIKE).search(window[best:]):
         return None
     return len(window) - best
 
 
 def right_word(t: Text, at: int, n: int, words: tuple[str, ...]) -> int | None:
-    if not words:
-        return None
-    m = _keywords(words).search(window := t.after(at, n))
+    window = t.after(at, n)
+    one = _present(window, words)
+    m = one.search(window) if one else None
     if not m or compiled(_DATE_LIKE).search(window[: m.start()]):
         return None
     return m.start()
@@ -138,10 +141,35 @@ def _bounds(rule: Rule, m) -> tuple[int, int]:
     return (found[0][0], found[-1][1]) if found else m.span()
 
 
+REACH = 64
+
+
+def regions(t: Text, mark: str) -> list[tuple[int, int]]:
+    """Stretches of the text within REACH characters of a mark, which each match holds."""
+    out: list[list[int]] = []
+    for m in compiled(mark).finditer(t.raw):
+        a, b = max(0, m.start() - REACH), min(len(t.raw), m.end() + REACH)
+        if out and a <= out[-1][1]:
+            out[-1][1] = b
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+def matches(t: Text, rule: Rule):
+    text = t.low if rule.lower else t.raw
+    mark = "@" if rule.category == "email" else r"\d+"
+    if mark not in t.regions:
+        t.regions[mark] = regions(t, mark)
+    for a, b in t.regions[mark]:
+        yield from compiled(rule.pattern).finditer(text, a, b)
+
+
 def match_rule(t: Text, rule: Rule) -> list[Span]:
     out: list[Span] = []
-    text, pattern = (t.low, compiled(rule.pattern)) if rule.lower else (t.raw, compiled(rule.pattern))
-    for m in pattern.finditer(text):
+    if rule.required and not any(w in t.low for w in rule.context + rule.after + rule.soft):
+        return out
+    for m in matches(t, rule):
         start, end = _bounds(rule, m)
         if start < 0:
             continue

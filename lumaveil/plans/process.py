@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import estimate_tokens, hashed_id
@@ -11,10 +11,11 @@ from ..sources import records
 
 
 def masked_by_policy(df: DataFrame, text: str = "text") -> DataFrame:
-    """df (with categories, combo_rules and strategy columns) with spans, masked and replacements."""
+    """df (with categories, combo_rules and strategy columns) with masked, replacements and found."""
     out = detect.detect(df, text)
-    out = out.withColumn("spans", policy.keep_categories(F.col("spans"), F.col("categories"), F.col("combo_rules")))
-    return masking.apply(out, F.col("strategy"), text)
+    strategy = F.coalesce("strategy", F.lit("partial"))
+    out = out.withColumn("_d", masking.put_allowed_masks_udf(text, "spans", strategy, "categories", "combo_rules"))
+    return out.select(*[c for c in out.columns if c not in ("_d", "spans")], "_d.*")
 
 
 def process(requests: DataFrame, systems: DataFrame, store: DataFrame, key: Column, id_key: bytes, now: Column, ttl: int = 3600, default_system: str = "default") -> tuple[DataFrame, DataFrame]:
@@ -29,13 +30,12 @@ def process(requests: DataFrame, systems: DataFrame, store: DataFrame, key: Colu
     r = r.join(F.broadcast(s), "system", "left")
     r = r.withColumn("status", F.when(F.col("status") != 200, F.col("status")).when(~F.coalesce("enabled", F.lit(False)), 403).otherwise(200))
     good = r.where("status = 200").withColumn("id_hash", hashed_id(id_key, F.col("payload_id"))).withColumn("hash", F.sha2("payload", 256))
-    masked = masked_by_policy(good, "payload")
-    held = records.load(store, key, now)
-    fresh = masked.join(held.select("id_hash"), "id_hash", "left_anti")
-    record = F.struct("replacements", "strategy", now.alias("created_at"), F.col("masked"), "hash", "system")
-    won = records.first_per(fresh.select("id_hash", "seq", record.alias("record")), "id_hash", "seq")
-    known = held.withColumn("first", F.lit(None).cast("long")).unionByName(won.select("id_hash", "record", F.col("seq").cast("long").alias("first")))
-    met = masked.join(known, "id_hash", "left")
+    masked = masked_by_policy(good, "payload").join(records.load(store, key, now).withColumnRenamed("record", "held"), "id_hash", "left")
+    own_record = F.struct("replacements", "strategy", now.alias("created_at"), F.col("masked"), "hash", "system")
+    first = F.first(F.struct("seq", own_record.alias("record"))).over(Window.partitionBy("id_hash").orderBy("seq"))
+    met = masked.withColumn("_first", F.when(F.col("held").isNull(), first))
+    met = met.withColumn("first", F.col("_first.seq")).withColumn("record", F.coalesce("held", "_first.record"))
+    won = met.where("first = seq").select("id_hash", "record")
     owner = F.coalesce(F.col("record.system"), F.lit(""))
     own = F.when(owner == "", F.col("system") == default_system).otherwise(owner == F.col("system"))
     met = met.withColumn("_r", masking.restore_udf("payload", "record.replacements"))
@@ -49,7 +49,7 @@ def process(requests: DataFrame, systems: DataFrame, store: DataFrame, key: Colu
     )
     met = met.withColumn("outcome", outcome)
     result = F.when(F.col("outcome") == "echo", F.col("record.masked")).when(F.col("outcome") == "restored", F.col("_r.restored")).otherwise(F.col("masked"))
-    answers = met.select("seq", "payload_id", "system", "status", "outcome", result.alias("result"), F.when(F.col("outcome") == "restored", F.col("_r.misses")).alias("misses"), F.size("spans").alias("found"))
+    answers = met.select("seq", "payload_id", "system", "status", "outcome", result.alias("result"), F.when(F.col("outcome") == "restored", F.col("_r.misses")).alias("misses"), "found")
     bad = r.where("status <> 200").select("seq", "payload_id", "system", "status", F.lit(None).cast("string").alias("outcome"), F.lit(None).cast("string").alias("result"), F.lit(None).cast("int").alias("misses"), F.lit(None).cast("int").alias("found"))
     expires = F.when(F.lit(ttl) > 0, now + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(ttl)))
     new = won.select("id_hash", records.seal(F.col("record"), key).alias("sealed"), expires.alias("expires_at"))
@@ -90,8 +90,6 @@ def mask_conversations(turns: DataFrame, strategy: str = "token") -> DataFrame:
 
 
 def _before():
-    from pyspark.sql import Window
-
     return Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.lexicon import CATEGORIES
 from ..operators.masking import STRATEGIES
@@ -23,10 +22,9 @@ def labelled(spark: SparkSession, path: str) -> DataFrame:
 
 def place_values(spans: Column, text: Column) -> Column:
     def place(s: Column) -> Column:
-        at = F.locate(s["value"], text)
-        again = F.locate(s["value"], text, 1) != at
+        at = F.position(s["value"], text)
         rest = F.substring(text, at + 1, F.char_length(text))
-        once = (at > 0) & ~F.contains(rest, s["value"]) & ~again
+        once = (at > 0) & ~F.contains(rest, s["value"])
         named = F.struct((at - 1).alias("start"), (at - 1 + F.char_length(s["value"])).alias("end"), s["value"].alias("value"), s["category"].alias("category"))
         wrong = F.raise_error(F.concat(F.lit("value does not occur exactly once: "), s["value"])).cast("struct<start:int,end:int,value:string,category:string>")
         return F.when(s["value"].isNull(), s).when(once, named).otherwise(wrong)
@@ -63,7 +61,7 @@ def systems(spark: SparkSession, items: list[dict]) -> DataFrame:
     return spark.createDataFrame([tuple((default | s).get(n) for n in names) for s in items], SYSTEM)
 
 
-CHUNK = T.StructType.fromDDL("choices array<struct<delta:struct<content:string>,finish_reason:string>>, usage struct<total_tokens:bigint>")
+CHUNK = "choices array<struct<delta:struct<content:string>,finish_reason:string>>, usage struct<total_tokens:bigint>"
 
 
 def sse(lines: DataFrame, key: str, order: str, value: str = "value") -> DataFrame:
