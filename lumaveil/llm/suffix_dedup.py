@@ -1,6 +1,7 @@
 """Suffix-array dedup: bytes covered by a 100-byte string that also starts earlier are removed.
 
-Where passages meet (see repeats.py), blocks of them are put end to end, a suffix array of the block is made by
+Where passages meet (see repeats.py), blocks of them are put end to end, with one letter for the anchor that all
+windows of a passage hold; a suffix array of the block is made by
 grouping suffixes by Lyndon prefixes (see suffixes.py), and neighbours in it that agree on 100 bytes form a class; all
 members but the earliest start a repeated string. Passages come in order, so a class's earliest member is in the first
 block that has the class; its place is kept for the blocks after it.
@@ -19,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from . import repeats
+from . import repeats, windows
 from .suffixes import suffix_array
 
 WIDTH = 100
@@ -28,7 +29,18 @@ UNITS = repeats.Units(words=False, width=WIDTH, k=50, same=True)
 BLOCK = 1 << 16
 
 
-def classes(contents: list[bytes], docs: list[int], starts: list[int], counts: list[int], width: int = WIDTH, block: int = BLOCK) -> list[tuple[int, int, int]]:
+def anchors(contents: list[bytes], width: int, k: int) -> list[int]:
+    """Where each content's anchor starts: the k-gram of smallest hash in its first window, the leftmost such."""
+    joined = np.frombuffer(b"".join(contents), np.uint8)
+    gram = windows.Sums(windows.BYTE_VALUES[joined]).grams(k)
+    low = (gram & ~windows.PLACE) | np.arange(len(gram), dtype=np.uint64)
+    first = np.concatenate([[0], np.cumsum([len(c) for c in contents])[:-1]])
+    low = np.append(low, np.uint64(0xFFFFFFFFFFFFFFFF))
+    ends = np.stack([first, np.minimum(first + width - k + 1, len(low) - 1)], 1).ravel()
+    return ((np.minimum.reduceat(low, ends)[::2] & windows.PLACE).astype(np.int64) - first).tolist()
+
+
+def classes(contents: list[bytes], docs: list[int], starts: list[int], counts: list[int], width: int = WIDTH, block: int = BLOCK, k: int = 50) -> list[tuple[int, int, int]]:
     """Windows (passage, from, to) that start earlier as well."""
     out: list[tuple[int, int, int]] = []
     held: dict[bytes, tuple[int, int]] = {}  # earliest (document, start) of the strings of blocks before
@@ -40,12 +52,17 @@ def classes(contents: list[bytes], docs: list[int], starts: list[int], counts: l
             until += 1
         text: list[int] = []
         base, owner = [], []
-        for i in range(at, until):
+        letters: dict[bytes, int] = {}
+        for i, a in zip(range(at, until), anchors(contents[at:until], width, k)):
+            # every window of a passage holds its anchor whole: one letter stands for it
+            whole = contents[i]
+            letter = letters.setdefault(whole[a : a + k], 256 + len(letters))
             base.append(len(text))
-            owner += [i] * len(contents[i]) + [-1]
-            text += contents[i]
+            owner += [i] * (len(whole) - k + 1) + [-1]
+            text += whole[:a]
+            text.append(letter)
+            text += whole[a + k :]
             text.append(-1)
-        joined = b"\0".join(contents[at:until]) + b"\0"
         flags: dict[int, list[int]] = {}
         run: list[tuple[int, int, int, int]] = []
         seen = b""
@@ -65,7 +82,7 @@ def classes(contents: list[bytes], docs: list[int], starts: list[int], counts: l
             i = owner[x]
             if i < 0 or (p := x - base[i - at]) >= counts[i]:
                 continue
-            string = joined[x : x + width]
+            string = contents[i][p : p + width]
             if string != seen:
                 close()
                 run, seen = [], string

@@ -99,7 +99,7 @@ def test_against_brute_force(spark, monkeypatch, hot, block):
     rows = corpus(hot)
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, start int").repartition(5)
     monkeypatch.setattr(repeats, "HOT", hot)
-    monkeypatch.setattr(suffix_dedup.classes, "__defaults__", (100, block))
+    monkeypatch.setattr(suffix_dedup.classes, "__defaults__", (100, block, 50))
     got = substring.op5(df).collect()
     assert sorted(map(tuple, got), key=str) == brute_words(rows)
     got = suffix_dedup.op8(df).collect()
