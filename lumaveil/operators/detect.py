@@ -52,10 +52,10 @@ class Registry:
 
 def default() -> Registry:
     r = Registry().add("regex", {x.category for x in rules.RULES} | {"birth_date"}, rules.detect)
-    r.add("datewords", {"date", "birth_date"}, phrases.dates_in_words).add("names", {"full_name"}, phrases.names)
-    r.add("cardholder", {"card_holder"}, phrases.holders).add("address", {"address"}, phrases.addresses)
-    r.add("birthplace", {"birth_place"}, phrases.birth_places).add("citizenship", {"citizenship"}, phrases.citizenships)
-    return r.add("issuer", {"passport_issuer"}, phrases.issuers)
+    r.add("datewords", {"date", "birth_date"}, phrases.russian(phrases.dates_in_words)).add("names", {"full_name"}, phrases.names)
+    r.add("cardholder", {"card_holder"}, phrases.holders).add("address", {"address"}, phrases.russian(phrases.addresses))
+    r.add("birthplace", {"birth_place"}, phrases.russian(phrases.birth_places)).add("citizenship", {"citizenship"}, phrases.citizenships)
+    return r.add("issuer", {"passport_issuer"}, phrases.russian(phrases.issuers))
 
 
 def parts(text: str) -> list[tuple[int, str]]:

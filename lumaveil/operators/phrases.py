@@ -76,6 +76,14 @@ def _years() -> str:
 DATE_WORDS = regex.compile(rf"(?<!\p{{L}})(?:{'|'.join(_days())})\s+(?:{'|'.join(_MONTH)})\s+{_years()}(?:\s+(?:года|г\.))?(?![\p{{L}}\p{{N}}])")
 
 
+CYRILLIC = regex.compile("[А-Яа-яЁё]")
+
+
+def russian(find):
+    """The detector for texts with Cyrillic letters only."""
+    return lambda t: find(t) if CYRILLIC.search(t.raw) else []
+
+
 def dates_in_words(t: Text) -> list[Span]:
     out = []
     for m in DATE_WORDS.finditer(t.low):
@@ -138,6 +146,9 @@ def _gap(t: Text, a: int, b: int) -> bool:
     return bool(regex.fullmatch(r"[ \t  ]{0,2}", t.raw[a:b]))
 
 
+LATIN_NAME = regex.compile(r"(?<!\p{L})[A-Z][a-z]+(?:[ -][A-Z][a-z]+){1,2}(?!\p{L})")
+
+
 def names(t: Text) -> list[Span]:
     tokens = [(m.start(), m.end(), _kinds(m.group())) for m in TOKEN.finditer(t.raw)]
     out: list[Span] = []
@@ -164,17 +175,20 @@ def names(t: Text) -> list[Span]:
             at += len(shape) - 1
             break
         at += 1
-    for m in regex.finditer(r"(?<!\p{L})[A-Z][a-z]+(?:[ -][A-Z][a-z]+){1,2}(?!\p{L})", t.raw):
+    for m in LATIN_NAME.finditer(t.raw):
         if left_word(t, m.start(), 40, NAME_WORDS) is not None:
             out.append((*m.span(), "full_name", "names", 0.9))
     return out
 
 
+MANY_DIGITS = regex.compile(r"[0-9](?:[ -]?[0-9]){12}")
+
+
 def holders(t: Text) -> list[Span]:
     from ..functions.validators import luhn
 
     near = any(w in t.low for w in HOLDER_WORDS)
-    digits = regex.search(r"[0-9](?:[ -]?[0-9]){12}", t.raw)
+    digits = MANY_DIGITS.search(t.raw)
     if not near and not digits:
         return []
     card = digits is not None and any(luhn(m.group()) for m in regex.finditer(r"[0-9](?:[ -]?[0-9]){12,18}", t.raw))
@@ -233,10 +247,14 @@ def addresses(t: Text) -> list[Span]:
     return out
 
 
+BIRTH_START = regex.compile(r"(?<!\p{L})(?:" + "|".join(regex.escape(w) for w in sorted(BIRTH_AT, key=len, reverse=True)) + r")[ :—-]{0,3}")
+BIRTH_VALUE = regex.compile(rf"(?:(?:{'|'.join(map(regex.escape, SETTLEMENTS))}) ?)?{_PLACE}(?:,? (?:{_PLACE} (?:области|область|обл\.|края|край|района|район)))*")
+
+
 def birth_places(t: Text) -> list[Span]:
     out = []
-    for m in regex.finditer(r"(?<!\p{L})(?:" + "|".join(regex.escape(w) for w in sorted(BIRTH_AT, key=len, reverse=True)) + r")[ :—-]{0,3}", t.low):
-        own = regex.match(rf"(?:(?:{'|'.join(map(regex.escape, SETTLEMENTS))}) ?)?{_PLACE}(?:,? (?:{_PLACE} (?:области|область|обл\.|края|край|района|район)))*", t.raw[m.end() : m.end() + 120])
+    for m in BIRTH_START.finditer(t.low):
+        own = BIRTH_VALUE.match(t.raw[m.end() : m.end() + 120])
         if own:
             end = m.end() + own.end()
             out.append((m.end(), end, "birth_place", "birthplace", 0.92))
@@ -246,9 +264,14 @@ def birth_places(t: Text) -> list[Span]:
 _COUNTRY = regex.compile("(?:" + "|".join(regex.escape(c) for c in sorted(COUNTRIES, key=len, reverse=True)) + r")(?!\p{L})")
 
 
+CITIZEN = regex.compile(r"(?<!\p{L})(?:гражданство|гражданства|гражданин|гражданина|гражданка|гражданки|citizenship)(?!\p{L})\s*[:—-]?\s*")
+
+
 def citizenships(t: Text) -> list[Span]:
     out = []
-    for m in regex.finditer(r"(?<!\p{L})(?:гражданство|гражданства|гражданин|гражданина|гражданка|гражданки|citizenship)(?!\p{L})\s*[:—-]?\s*", t.low):
+    if "гражда" not in t.low and "citizen" not in t.low:
+        return out
+    for m in CITIZEN.finditer(t.low):
         if own := _COUNTRY.match(t.low, m.end()):
             out.append((*own.span(), "citizenship", "citizenship", 0.9))
     for m in _COUNTRY.finditer(t.low):
@@ -260,12 +283,19 @@ def citizenships(t: Text) -> list[Span]:
     return out
 
 
-def issuers(t: Text) -> list[Span]:
-    out = []
+def _issuer_start():
     at = "|".join(regex.escape(w) for w in sorted(ISSUE_AT, key=len, reverse=True))
     gap = r"(?:[ :,]|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{2,4}|[0-9]{1,2} [а-я]+ [0-9]{4}|г\.|года){0,12}"
     first = "|".join(regex.escape(w) for w in sorted(ISSUE_START, key=len, reverse=True))
-    for m in regex.finditer(rf"(?<!\p{{L}})(?:{at}){gap}((?:{first})(?!\p{{L}}))", t.low):
+    return regex.compile(rf"(?<!\p{{L}})(?:{at}){gap}((?:{first})(?!\p{{L}}))")
+
+
+ISSUER = _issuer_start()
+
+
+def issuers(t: Text) -> list[Span]:
+    out = []
+    for m in ISSUER.finditer(t.low):
         start = m.start(1)
         stop = regex.search(r"\n|;|\.(?= ?[А-ЯЁ]|\s*$)(?<!\bг\.)|,|(?=\s[0-9]{1,2}[./][0-9])|(?=\s(?:код|дата|серия|выдан)\p{L}*)", t.raw[start : start + 200])
         end = start + (stop.start() if stop else min(200, len(t.raw) - start))
