@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import ship
+
 #: Rows in an Arrow batch, so that a batch of long texts stays small in a Python worker.
 BATCH_ROWS = 256
 
@@ -17,7 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts can be long: bound what a Python worker holds at once."""
+    """Texts can be long: bound what a Python worker holds at once. Also lets executors import the package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
