@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumaveil.llm import mixing, packing, pii, simhash, toxicity
+from lumaveil.llm import mixing, near, packing, pii, toxicity
 from lumaveil.llm.common import table, written
 
 
@@ -15,8 +15,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, fingerprints within 5 of 64 bits."""
-    return simhash.keep_first(docs, width=5, radius=5)
+    """One document of each group of near copies: sets of five-word shingles at a Jaccard similarity of 0.8 or more."""
+    return near.keep_first(docs, width=5, at_least=0.8)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
