@@ -126,3 +126,14 @@ def test_nulls_and_sql(spark):
     assert spark.sql("select category from detect_pii_rows('mail a@b.ru')").first().category == "email"
     df = spark.createDataFrame([(None,), ("",), ("plain words",)], "text string")
     assert [r.spans for r in D.detect(df).collect()] == [None, [], []]
+
+
+def test_prefilter_keeps_whatever_a_detector_finds(spark):
+    texts = [
+        "Citizenship: Russia", "Citizenship: USA, thanks", "citizenship: usa", "CITIZENSHIP: RUSSIA", "name: Ivan", "My name is Ivan", "name Anna-Maria", "Anna\tA.\tB.",
+        "name on card Ivan  Petrov", "cardholder: Ivan Petrov", "call me", "mail a@b.ru", "plain words", "",
+    ]
+    rows = D.detect(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")).orderBy("i").collect()
+    want = [D.spans_of(t, D.default()) for t in texts]
+    assert [[tuple(s) for s in r.spans] for r in rows] == [[tuple(s) for s in w] for w in want]
+    assert all(want[:3]) and all(want[4:7])
