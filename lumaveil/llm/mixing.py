@@ -89,7 +89,10 @@ def taken(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most:
         .withColumns({"_name": F.coalesce("source", F.lit("")), "_null": F.col("source").isNull()})
         .withColumn("whole", F.least(F.floor(F.col("rate") + 1e-9), F.lit(int(most))))
         .withColumn("_more", F.greatest(F.round("target").cast("long") - F.col("whole") * F.col("source_size"), F.lit(0)))
-        .drop("source")
+        # a target that rounds to one more copy of everything ends in no document
+        .withColumn("_full", (F.col("_more") > 0) & (F.col("_more") >= F.col("source_size")))
+        .withColumns({"whole": F.col("whole") + F.col("_full").cast("long"), "_more": F.when(F.col("_full"), 0).otherwise(F.col("_more"))})
+        .drop("source", "_full")
     )
     n = few.count()
 

@@ -69,3 +69,12 @@ def test_one_source_and_none(spark):
     got = M.op7(spark.createDataFrame([(1, "a b", None), (2, "c d", None)], "doc_id long, text string, source string")).collect()
     assert {r.target for r in got} == {6.0} and sum(r.taken for r in got) in (5, 6, 7)
     assert M.op7(spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
+
+
+def test_target_rounds_to_the_whole_source(spark):
+    rows = [(i, "w " * 10, "a") for i in range(10)] + [(10, "w", "a")] + [(20 + i, "w " * 10, "b") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in M.op7(df).collect()}
+    assert got[20].target == 99.5 and all(got[20 + i].taken == 10 for i in range(10))
+    assert sum(r.taken for r in got.values()) == 302
+    assert sum(r.source == "b" for r in M.mix(df).collect()) == 10
