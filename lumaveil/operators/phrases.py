@@ -6,6 +6,7 @@ from functools import lru_cache
 
 import regex
 
+from ..functions.dictionaries import FAMOUS_PEOPLE, GIVEN_NAMES, SURNAMES, TOWNS
 from .rules import Span, Text, birth_or_date, left_part, left_word, right_word
 
 # Word lists of the language.
@@ -21,12 +22,12 @@ FIRST_NAMES = frozenset(
     "юрий яков ярослав александра алина алла анастасия анжела анна антонина валентина валерия варвара вера вероника виктория галина дарья диана "
     "евгения екатерина елена елизавета жанна зинаида зоя инна ирина карина кристина ксения лариса лидия любовь людмила маргарита марина мария надежда "
     "наталия наталья нина оксана олеся ольга полина раиса светлана софия софья тамара татьяна ульяна юлия яна ivan petr anna maria sergey olga elena".split()
-)
+) | frozenset(GIVEN_NAMES)
 CITIES = frozenset(
     "москва санкт-петербург новосибирск екатеринбург казань челябинск омск самара уфа красноярск воронеж пермь волгоград саратов тюмень тольятти "
     "ижевск барнаул иркутск ульяновск хабаровск ярославль владивосток махачкала томск оренбург кемерово рязань астрахань пенза липецк киров тула "
     "калининград курск сочи ставрополь тверь магнитогорск иваново брянск белгород владимир калуга смоленск вологда орел мурманск петрозаводск".split()
-)
+) | frozenset(TOWNS)
 COUNTRIES = (
     "российской федерации", "российская федерация", "россия", "россии", "рф", "республики беларусь", "республика беларусь", "беларусь", "беларуси",
     "казахстан", "казахстана", "украина", "украины", "узбекистан", "узбекистана", "таджикистан", "таджикистана", "армения", "армении", "азербайджан",
@@ -36,6 +37,7 @@ COUNTRIES = (
 FAMOUS = frozenset(
     "пушкин толстой достоевский чехов ломоносов менделеев гагарин чайковский лермонтов гоголь тургенев есенин маяковский суворов кутузов".split()
 )
+KNOWN_SURNAMES = frozenset(SURNAMES)
 SURNAME_ENDS = (
     "ов", "ев", "ёв", "ин", "ын", "ский", "цкий", "ской", "цкой", "енко", "чук", "юк", "ук", "ова", "ева", "ёва", "ина", "ына", "ская", "цкая", "дзе", "швили", "ян", "их", "ых",
 )
@@ -110,8 +112,10 @@ def is_first_name(word: str) -> bool:
 
 def is_surname(word: str) -> bool:
     w = word.lower()
-    if len(w) < 4 or w in NAME_STOPS:
+    if w in NAME_STOPS or len(w) < 4 and w not in KNOWN_SURNAMES:
         return False
+    if w in KNOWN_SURNAMES or any(w.endswith(c) and (w[: -len(c)] in KNOWN_SURNAMES or w[: -len(c)] + "а" in KNOWN_SURNAMES) for c in CASES):
+        return True
     return w.endswith(SURNAME_ENDS) or any(w.endswith(c) and w[: -len(c)].endswith(SURNAME_ENDS[:13]) for c in CASES)
 
 
@@ -168,6 +172,7 @@ def names(t: Text) -> list[Span]:
                 continue
             words = {w.lower() for w in TOKEN.findall(t.raw[start:end])}
             known = any(any(w.startswith(f[:-1]) and abs(len(w) - len(f)) <= 2 for f in FAMOUS) for w in words)
+            known = known or any(all(any(w.startswith(f[:-1]) and abs(len(w) - len(f)) <= 2 for w in words) for f in who.split()) for who in FAMOUS_PEOPLE)
             if known and left_word(t, start, 30, NAME_WORDS) is None:
                 at += len(shape) - 1
                 break
@@ -218,9 +223,12 @@ PARTS = {
 }
 
 
+CITY = regex.compile(r"(?<![\p{L}-])(?:" + "|".join(regex.escape(c) for c in sorted(CITIES, key=len, reverse=True)) + r")(?![\p{L}-])")
+
+
 def addresses(t: Text) -> list[Span]:
     found = sorted(((m.start(), -m.end(), kind) for kind, p in PARTS.items() for m in p.finditer(t.raw)), key=lambda x: x[:2])
-    known = [(m.start(), -m.end(), "locality") for m in regex.finditer(r"(?<!\p{L})[А-ЯЁ][а-яё]+(?:-[А-ЯЁ][а-яё]+)?(?!\p{L})", t.raw) if m.group().lower() in CITIES]
+    known = [(m.start(), -m.end(), "locality") for m in CITY.finditer(t.low) if t.raw[m.start()].isupper()]
     found = sorted(found + known)
     parts: list[tuple[int, int, str]] = []
     for a, b, kind in found:

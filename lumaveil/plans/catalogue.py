@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.dictionaries import GIVEN_NAMES, SURNAMES, TOWNS
 from ..functions import columns as C
 from ..operators import accuracy, detect, masking, metrics, policy
 from ..sources import files, records
@@ -237,6 +238,10 @@ def _gold_spans(name: str, texts: list[str], expected: list[tuple[int, str, str]
 _gold_spans("names_gold", ["Клиент Иванов Иван Иванович пришёл", "Иван Петров написал", "Петров И. О. подписал"],
             [(0, "full_name", "Иванов Иван Иванович"), (1, "full_name", "Иван Петров"), (2, "full_name", "Петров И. О.")], "full_name")
 _gold_spans("address_gold", ["Адрес: ул. Ленина, д. 5, кв. 12", "Прописан: г. Казань, ул. Мира, д. 7"], [(0, "address", "ул. Ленина, д. 5, кв. 12"), (1, "address", "г. Казань, ул. Мира, д. 7")], "address")
+# every entry of the word lists
+_gold_spans("names_dictionary", [f"Клиент {n.title()} пришёл" for n in GIVEN_NAMES] + [f"Вчера Анна {n.title()} пришла" for n in SURNAMES],
+            [(i, "full_name", n.title()) for i, n in enumerate(GIVEN_NAMES)] + [(i, "full_name", f"Анна {n.title()}") for i, n in enumerate(SURNAMES, len(GIVEN_NAMES))], "full_name")
+_gold_spans("address_dictionary", [f"Адрес: {n.title()}, ул. Ленина, д. 5" for n in TOWNS], [(i, "address", f"{n.title()}, ул. Ленина, д. 5") for i, n in enumerate(TOWNS)], "address")
 _gold_spans("birthplace_gold", ["место рождения: г. Казань", "уроженец г. Москва"], [(0, "birth_place", "г. Казань"), (1, "birth_place", "г. Москва")], "birth_place")
 _gold_spans("citizenship_gold", ["гражданство РФ", "He has Russia citizenship", "гражданство?\nРоссия"], [(0, "citizenship", "РФ"), (1, "citizenship", "Russia"), (2, "citizenship", "Россия")], "citizenship")
 _gold_spans("issuer_gold", ["паспорт выдан ОУФМС России по городу, код"], [(0, "passport_issuer", "ОУФМС России по городу")], "passport_issuer")

@@ -137,3 +137,14 @@ def test_prefilter_keeps_whatever_a_detector_finds(spark):
     want = [D.spans_of(t, D.default()) for t in texts]
     assert [[tuple(s) for s in r.spans] for r in rows] == [[tuple(s) for s in w] for w in want]
     assert all(want[:3]) and all(want[4:7])
+
+
+def test_whole_dictionaries():
+    from lumaveil.functions import dictionaries as W
+
+    assert [len(x) for x in (W.GIVEN_NAMES, W.SURNAMES, W.TOWNS, W.FAMOUS_PEOPLE)] == [len(set(x)) for x in (W.GIVEN_NAMES, W.SURNAMES, W.TOWNS, W.FAMOUS_PEOPLE)]
+    missed = [n for n in W.GIVEN_NAMES if not found(f"Клиент {n.title()} пришёл", "full_name")]
+    missed += [n for n in W.SURNAMES if not found(f"Вчера Анна {n.title()} пришла", "full_name")]
+    missed += [n for n in W.TOWNS if found(f"Адрес: {n.title()}, ул. Ленина, д. 5", "address") != [f"{n.title()}, ул. Ленина, д. 5"]]
+    missed += [n for n in W.FAMOUS_PEOPLE if found(f"стихи {n.title()} читали", "full_name")]
+    assert missed == []
