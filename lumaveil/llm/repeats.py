@@ -129,21 +129,31 @@ def entries(batch: tuple, units: Units) -> np.ndarray:
 
 
 def scan(texts: DataFrame, units: Units, buckets: int) -> DataFrame:
-    """(bucket, entries) of all segments but those that an earlier one of their batch repeats."""
+    """(bucket, entries, repeated): all segments by anchor, but those that an earlier one of their batch repeats apart.
+
+    Both come from one pass, as another would see other batches where the table is cut or ordered anew.
+    """
 
     def run(frames):
         for batch in batches_of(frames, units):
             e = entries(batch, units)
-            e = e[~firsts(e, units.same, ("h", "s"))[1]]
+            later = firsts(e, units.same, ("h", "s"))[1]
+            if later.any():  # of no use to their anchor's bucket: dealt by document
+                again = e[later]
+                again = again[np.argsort(again["doc"], kind="stable")]
+                cuts = np.flatnonzero(np.diff(again["doc"])) + 1
+                held = np.split(again, cuts)
+                yield pd.DataFrame({"bucket": [int(x["doc"][0]) % buckets for x in held], "entries": None, "repeated": [packed(x) for x in held]})
+            e = e[~later]
             if not len(e):
                 continue
             b = (e["h"] % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(b, kind="stable")
             e, b = e[order], b[order]
             cuts = np.flatnonzero(np.diff(b)) + 1
-            yield pd.DataFrame({"bucket": b[np.concatenate([[0], cuts])], "entries": [packed(x) for x in np.split(e, cuts)]})
+            yield pd.DataFrame({"bucket": b[np.concatenate([[0], cuts])], "entries": [packed(x) for x in np.split(e, cuts)], "repeated": None})
 
-    return texts.mapInPandas(run, "bucket int, entries binary")
+    return texts.mapInPandas(run, "bucket int, entries binary, repeated binary")
 
 
 def packed(e: np.ndarray) -> bytes:
@@ -169,22 +179,11 @@ def ranges(e: np.ndarray, width: int) -> pd.DataFrame:
     return pd.DataFrame({"doc": e["doc"], "start": e["at"], "stop": e["at"] + e["n"] + width - 1, "s": e["s"].view(np.int64)})
 
 
-def repeated_in_batches(texts: DataFrame, units: Units) -> DataFrame:
-    def run(frames):
-        for batch in batches_of(frames, units):
-            e = entries(batch, units)
-            e = e[firsts(e, units.same, ("h", "s"))[1]]
-            if len(e):
-                yield ranges(e, units.width)
-
-    return texts.mapInPandas(run, RANGES)
-
-
 def meet(scanned: DataFrame, units: Units, hot: int) -> DataFrame:
     """RANGES, h and kind: 0 repeated, 1 to be compared by anchor, 2 to be compared by window."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        e = unpacked(frame["entries"].tolist())
+        e, again = unpacked(frame["entries"].dropna().tolist()), unpacked(frame["repeated"].dropna().tolist())
         _, later = firsts(e, units.same, ("h", "s"))
         left = e[~later]
         left = left[np.argsort(left["h"], kind="stable")]
@@ -197,7 +196,8 @@ def meet(scanned: DataFrame, units: Units, hot: int) -> DataFrame:
         differ = np.flatnonzero(~new & (contents["s"] != contents["s"][np.maximum(np.flatnonzero(new)[number], 0)]))
         several[number[differ]] = True
         detail = several[number]
-        out = pd.concat([ranges(e[later], units.width).assign(h=e["h"][later].view(np.int64), kind=0),
+        out = pd.concat([ranges(again, units.width).assign(h=again["h"].view(np.int64), kind=0),
+                         ranges(e[later], units.width).assign(h=e["h"][later].view(np.int64), kind=0),
                          ranges(left[detail], units.width).assign(h=left["h"][detail].view(np.int64), kind=np.where(sizes[number[detail]] > hot, 2, 1))])
         return out.astype({"kind": "int32"})
 
@@ -285,7 +285,7 @@ def find(docs: DataFrame, units: Units, method: Method, bucket_bytes: int = BUCK
     buckets = int(min(1 << 20, max(8, total // bucket_bytes)))
     told = written(meet(scan(texts, units, buckets), units, hot))
     more = written(compared(details(texts, told, units, buckets), units, method))
-    known = told.where("kind = 0").select("doc", "start", "stop", "s").unionAll(more).unionAll(repeated_in_batches(texts, units))
+    known = told.where("kind = 0").select("doc", "start", "stop", "s").unionAll(more)
     known = known.groupBy("doc").agg(F.collect_list(F.struct("start", "stop", "s")).alias("ranges"))
     return texts.select("doc", squeezed("text").alias("text")).join(known, "doc", "left")
 

@@ -130,3 +130,36 @@ def test_long_text_in_parts(spark, monkeypatch):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert substring.op5(df).collect() == [] and suffix_dedup.op8(df).collect() == []
+
+
+def test_table_cut_anew_between_jobs(spark, tmp_path, monkeypatch):
+    """A copy that the first job meets in its original's batch is found though later jobs see them in different batches."""
+    import os
+
+    import pandas as pd
+    from pyspark import TaskContext
+
+    flag, text = str(tmp_path / "apart"), " ".join(f"w{i}" for i in range(400))
+
+    def rows(frames):
+        for _ in frames:
+            pass
+        here = TaskContext.get().partitionId()
+        docs = [here + 1] if os.path.exists(flag) else [1, 2] if here == 0 else []
+        if docs:
+            yield pd.DataFrame({"doc_id": docs, "text": [text] * len(docs)})
+
+    write = repeats.written
+
+    def written(df):
+        out = write(df)
+        open(flag, "w").close()
+        return out
+
+    monkeypatch.setattr(repeats, "written", written)
+    for units in (u for m in (substring, suffix_dedup) for u in vars(m).values() if isinstance(u, repeats.Units)):
+        if os.path.exists(flag):
+            os.remove(flag)
+        docs = spark.range(0, 2, 1, 2).mapInPandas(rows, "doc_id long, text string")
+        found = {r.doc: r.ranges for r in repeats.find(docs, units, lambda *_: []).collect()}
+        assert not found[1] and sum(r.stop - r.start for r in found[2]) >= 400
