@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import defaultdict
@@ -71,6 +72,42 @@ def test_one_source_and_none(spark):
     assert M.op7(spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
 
 
+def test_multipliers_against_bisection(spark, rows):
+    """The rates are those of the dual's optimum, found for each source by halving; words of a source meet its target."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
+    got = M.taken(docs).select("_row.source", "size", "target", "rate", "whole", "taken").collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.source].append(r)
+    tilted = 0
+    for rs in by.values():
+        n, target = [r["size"] for r in rs], rs[0].target
+        mass = lambda l: sum(k * (2.0 if l * k >= math.log(2) else math.exp(l * k)) for k in n)  # noqa: E731, B023
+        if not sum(n):
+            continue
+        low, high = -20.0, 1.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if mass(mid) < target else (low, mid)
+        for r in rs:
+            want = 2.0 if high * r["size"] >= math.log(2) else math.exp(high * r["size"])
+            assert abs(r.rate - want) < 1e-4, (r, want)
+            assert r["size"] == 0 or r["size"] * math.floor(r.rate) <= r.taken <= r["size"] * math.ceil(r.rate)
+            tilted += 0.01 < r.rate < 1.99 and abs(r.rate - 1) > 0.01
+    assert tilted > 500 and len({r.rate for r in got}) > 100
+
+
+def test_targets_against_sql(spark, rows):
+    import duckdb
+
+    t = M.targets(spark.createDataFrame([(f"s{i:02d}", i * i % 17 * 10) for i in range(40)] + [(None, 50)], "source string, source_size long"))
+    got = {r.source: r.target for r in t.collect()}
+    want = brute_targets({f"s{i:02d}": i * i % 17 * 10 for i in range(40)} | {None: 50})
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 for s in got)
+    ranks = M.ranked(spark.createDataFrame([("b",), ("B",), (None,), ("é",), ("",)], "source string"))
+    assert [r.source for r in ranks.orderBy("rank").collect()] == [r[0] for r in duckdb.sql("select * from (values ('b'), ('B'), (null), ('é'), ('')) t(s) order by s nulls last").fetchall()]
+
+
 def test_target_rounds_to_the_whole_source(spark):
     rows = [(i, "w " * 10, "a") for i in range(10)] + [(10, "w", "a")] + [(20 + i, "w " * 10, "b") for i in range(10)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -78,3 +115,11 @@ def test_target_rounds_to_the_whole_source(spark):
     assert got[20].target == 99.5 and all(got[20 + i].taken == 10 for i in range(10))
     assert sum(r.taken for r in got.values()) == 302
     assert sum(r.source == "b" for r in M.mix(df).collect()) == 10
+
+
+def test_a_source_far_below_its_size(spark):
+    """Weights 3, 1 and 2 leave little to a large source of one very long text and many short ones."""
+    rows = [(i, "w " * 5, "b") for i in range(400)] + [(400, "w " * 20000, "b")] + [(500 + i, "w " * 900, s) for i in range(9) for s in "ac"]
+    got = M.taken(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("_row.source = 'b'").collect()
+    target = got[0].target
+    assert abs(sum(r["size"] * r.rate for r in got) - target) < 1e-6 * target and abs(sum(r.taken for r in got) - target) <= 5
