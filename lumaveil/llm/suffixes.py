@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 
 def suffix_array(text: list[int]) -> list[int]:
     """Order of the suffixes of text (any integers).
@@ -81,3 +83,110 @@ def suffix_array(text: list[int]) -> list[int]:
     for r in range(n):
         chain(out[r] - 1)
     return out
+
+
+#: Letters of a string from which it is ordered by itself, and letters of strings ordered side by side.
+LONG, TOGETHER = 1 << 14, 1 << 20
+
+
+def suffix_arrays(text: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For strings text[bounds[i]:bounds[i + 1]] of integers: the places in text in the order of each string's suffixes.
+
+    Many short strings are ordered side by side, each by the same groups and pointers as in suffix_array: a step takes
+    the highest group left of every string. Groups are stretches of one array of places; members that move go to the
+    end of their group's stretch, which becomes the new groups.
+    """
+    sizes = np.diff(bounds)
+    out = np.empty(len(text), np.int64)
+    for i in np.flatnonzero(sizes >= LONG):
+        a, b = int(bounds[i]), int(bounds[i + 1])
+        out[a:b] = np.array(suffix_array(text[a:b].tolist()), np.int64) + a
+    short = np.flatnonzero((sizes > 0) & (sizes < LONG))
+    short = short[np.argsort(-sizes[short], kind="stable")]
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes[short]) // TOGETHER)) + 1 if len(short) else []
+    for part in np.split(short, cuts) if len(short) else []:
+        n = sizes[part]
+        first = np.concatenate([[0], np.cumsum(n)])
+        places = np.repeat(bounds[:-1][part] - first[:-1], n) + np.arange(first[-1])
+        out[places] = places[_side_by_side(text[places], first)]
+    return out
+
+
+def _side_by_side(text: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """suffix_arrays of non-empty strings, the longest first."""
+    n, first = len(text), bounds[:-1]
+    owner = np.repeat(np.arange(len(first)), np.diff(bounds))
+    held = np.lexsort((text, owner))  # places by group
+    new = np.ones(n, bool)
+    new[1:] = (owner[held[1:]] != owner[held[:-1]]) | (text[held[1:]] != text[held[:-1]])
+    count = int(new.sum())
+    start, size = np.zeros(count + n, np.int64), np.zeros(count + n, np.int64)
+    start[:count] = np.flatnonzero(new)
+    size[:count] = np.diff(np.append(start[:count], n))
+    group, where = np.empty(n, np.int64), np.empty(n, np.int64)
+    group[held] = np.cumsum(new) - 1
+    where[held] = np.arange(n)
+    taken, moves = np.zeros(count + n, bool), np.zeros(n, bool)
+    before = np.arange(-1, n - 1)
+    before[first] = -1
+    previous = np.full(n, -1)
+    now, low = group[held[bounds[1:] - 1]], first
+    while len(now):
+        taken[now] = True
+        at, many = start[now], size[now]
+        mine = held[np.repeat(at - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        previous[mine] = before[mine]
+        seek = mine
+        while len(seek):
+            to = previous[seek]
+            on = to >= 0
+            on[on] = taken[group[to[on]]]
+            seek = seek[on]
+            previous[seek] = previous[to[on]]
+        hit = previous[mine]
+        hit, times = np.unique(hit[hit >= 0], return_counts=True)
+        if len(hit):
+            g = group[hit]
+            order = np.lexsort((times, g))
+            hit, times, g = hit[order], times[order], g[order]
+            other = np.append(True, g[1:] != g[:-1])
+            parts = np.flatnonzero(other | np.append(True, times[1:] != times[:-1]))
+            heads = np.flatnonzero(other)
+            counts = np.diff(np.append(heads, len(g)))
+            old = g[heads]
+            tail = start[old] + size[old] - counts
+            to = np.repeat(tail - heads, counts) + np.arange(len(g))
+            moves[hit] = True
+            there, here = held[to], where[hit]
+            there, here = there[~moves[there]], here[here < np.repeat(tail, counts)]
+            held[here], where[there] = there, here
+            held[to], where[hit] = hit, to
+            moves[hit] = False
+            lengths = np.diff(np.append(parts, len(g)))
+            group[hit] = count + np.repeat(np.arange(len(parts)), lengths)
+            start[count : count + len(parts)], size[count : count + len(parts)] = to[parts], lengths
+            size[old] -= counts
+            count += len(parts)
+        more = at > low
+        low = low[more]
+        now = group[held[at[more] - 1]]
+    out = np.full(n, -1)
+    slot, placed = start.copy(), np.zeros(n, bool)
+
+    def chain(s: np.ndarray) -> None:
+        while len(s):
+            s = s[~placed[s]]
+            g = group[s]
+            out[slot[g]] = s
+            slot[g] += 1
+            placed[s] = True
+            s = previous[s]
+            s = s[s >= 0]
+
+    chain(bounds[1:] - 1)
+    lengths = np.diff(bounds)
+    longest_first = -lengths
+    for r in range(int(lengths[0])):
+        s = out[first[: np.searchsorted(longest_first, -r)] + r]
+        chain(before[s][before[s] >= 0])
+    return out

@@ -2,20 +2,20 @@
 
 Of the k-grams of a window the one with the smallest hash (the leftmost such) is its anchor; equal windows have equal
 anchors at equal offsets. Neighbouring windows with one anchor form a segment. A segment whose anchor occurs nowhere
-else holds no repeated window, so only segments with shared anchors are looked at again, and a segment whose whole
-content occurs earlier is repeated as a whole. Hashes are 64-bit sums over random unit values, taken for any range
-from running sums; anchor and content together make 128 bits.
+else holds no repeated window. Hashes are 64-bit sums over hashes of units, taken for any range from running sums; they
+tell where to look, and texts are compared unit by unit.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 PLACE = np.uint64((1 << 24) - 1)
-#: Units hashed together; positions within have to fit 24 bits.
-MOST_UNITS = 1 << 23
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -58,14 +58,6 @@ class Sums:
         return mix((self.total[k:] - self.total[:n]) * self.down[:n])
 
 
-def words_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, unit value) of the words of bytes."""
-    blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
-    start, end = edge[0::2], edge[1::2]
-    return start, end, Sums(BYTE_VALUES[raw]).of(start, end)
-
-
 def segments(units: np.ndarray, bounds: np.ndarray, width: int, k: int):
     """(document, first window, windows, anchor hash, content hash) of all segments; bounds: documents' first units.
 
