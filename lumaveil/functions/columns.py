@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,7 +98,7 @@ def estimate_tokens(text: Column) -> Column:
 
 def hashed_id(key: bytes, name: Column) -> Column:
     """The first 16 hex digits of the HMAC-SHA256 of an id."""
-    block = key.ljust(64, b"\0")
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
     inner, outer = (F.lit(bytes(b ^ x for b in block)) for x in (0x36, 0x5C))
     first = F.unhex(F.sha2(F.concat(inner, name.cast("binary")), 256))
     return F.left(F.sha2(F.concat(outer, first), 256), F.lit(16))
@@ -105,15 +107,37 @@ def hashed_id(key: bytes, name: Column) -> Column:
 def find_spans(text: Column, pattern: str, category: str, confidence: float = 0.9) -> Column:
     """array<struct<start,end,category,confidence,value>> of all matches of a pattern without groups, in code points.
 
-    Matches are put between two control characters, which the text loses first; offsets add up over the pieces.
+    The texts between matches and the matches take turns, so offsets are sums of their lengths. Most texts have no match
+    and are asked only that.
     """
-    clean = F.translate(text, "\u0001\u0002", "")
-    pieces = F.split(F.regexp_replace(clean, f"({pattern})", "\u0001$1\u0002"), "\u0001")
-    start = F.struct(F.char_length(pieces[0]).alias("at"), F.array().cast("array<struct<start:int,end:int,category:string,confidence:double,value:string>>").alias("spans"))
+    spans = "array<struct<start:int,end:int,category:string,confidence:double,value:string>>"
+    gaps, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(values)), values, lambda g, v: F.struct(F.char_length(g).alias("g"), v.alias("v")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("spans"))
+
+    def step(acc: Column, x: Column) -> Column:
+        a = acc["at"] + x["g"]
+        b = a + F.char_length(x["v"])
+        span = F.struct(a.alias("start"), b.alias("end"), F.lit(category).alias("category"), F.lit(float(confidence)).alias("confidence"), x["v"].alias("value"))
+        return F.struct(b.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+
+    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda acc: acc["spans"])).otherwise(F.when(text.isNotNull(), F.array().cast(spans)))
+
+
+_CYRILLIC = "абвгдеёжзийклмнопрстуфхцчшщъыьэюя"
+#: Latin letters for Cyrillic ones, in the order of the alphabet.
+_LATIN = "a b v g d e e zh z i y k l m n o p r s t u f kh ts ch sh sch  y  e yu ya".split(" ")
+
+
+def transliterated(c: Column) -> Column:
+    """Cyrillic letters as Latin ones; a capital gives a capital first letter."""
+    many = [(x, y) for x, y in zip(_CYRILLIC, _LATIN) if len(y) != 1]
+    one = [(x, y) for x, y in zip(_CYRILLIC, _LATIN) if len(y) == 1]
+    for x, y in many:
+        c = F.replace(F.replace(c, F.lit(x), F.lit(y)), F.lit(x.upper()), F.lit(y.capitalize()))
+    return F.translate(c, "".join(x + x.upper() for x, _ in one), "".join(y + y.upper() for _, y in one))
 
-    def step(acc: Column, piece: Column) -> Column:
-        n = F.locate("\u0002", piece) - 1
-        span = F.struct(acc["at"].alias("start"), (acc["at"] + n).alias("end"), F.lit(category).alias("category"), F.lit(float(confidence)).alias("confidence"), F.left(piece, n).alias("value"))
-        return F.struct((acc["at"] + F.char_length(piece) - 1).alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
-    return F.aggregate(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), start, step, lambda acc: acc["spans"])
+def new_id() -> Column:
+    """A random id of version 4."""
+    return F.uuid()

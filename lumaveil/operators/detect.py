@@ -1,7 +1,7 @@
 """Detection as a DataFrame operator: text -> array of resolved spans.
 
 The rules and grammars need the words around a match, so they run in one Arrow function that sees each text once and
-resolves overlaps as it goes. resolve and tell_dates are the same steps as native expressions, for spans from elsewhere
+resolves overlaps as it goes; small tables are spread over the cores before it. resolve and tell_dates are the same steps as native expressions, for spans from elsewhere
 (such as columns.find_spans). A prefilter keeps texts with nothing to find (only lower-case ASCII without a digit, an @
 or "citizen") out of Python.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.lexicon import CATEGORIES, DIVISION_WORDS, ISSUE_WORDS, OTHER_PAPERS, OTHER_PAPERS_WHOLE, BIRTH_WORDS
-from . import phrases, rules
+from . import people, phrases, rules
 from .rules import Span, Text, left_word
 
 SPAN = T.StructType(
@@ -52,7 +52,7 @@ class Registry:
 
 def default() -> Registry:
     r = Registry().add("regex", {x.category for x in rules.RULES} | {"birth_date"}, rules.detect)
-    r.add("datewords", {"date", "birth_date"}, phrases.russian(phrases.dates_in_words)).add("names", {"full_name"}, phrases.names)
+    r.add("datewords", {"date", "birth_date"}, phrases.russian(phrases.dates_in_words)).add("names", {"full_name"}, people.names)
     r.add("cardholder", {"card_holder"}, phrases.holders).add("address", {"address"}, phrases.russian(phrases.addresses))
     r.add("birthplace", {"birth_place"}, phrases.russian(phrases.birth_places)).add("citizenship", {"citizenship"}, phrases.citizenships)
     return r.add("issuer", {"passport_issuer"}, phrases.russian(phrases.issuers))
@@ -143,9 +143,10 @@ def detect_udf(registry: Registry | None = None):
 def may_hold(text: Column) -> Column:
     """Whether any detector could find something: a digit, an @, a capital, any letter beyond ASCII, or citizen(ship).
 
-    Rules need a digit or an @, names and holders a capital, the other grammars Cyrillic; texts left out hold none.
+    Rules need a digit or an @, holders a capital, Latin names a keyword, the other grammars Cyrillic; texts left out hold
+    none of these.
     """
-    return text.rlike(r"[0-9@A-Z]|[^\x00-\x7F]|citizen")
+    return text.rlike(r"[0-9@A-Z]|[^\x00-\x7F]|citizen|name|client")
 
 
 ORDER = ("regex", "datewords", "names", "cardholder", "address", "birthplace", "citizenship", "issuer")
@@ -208,9 +209,19 @@ def tell_dates(spans: Column, text: Column) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"], s["end"], category(s).alias("category"), s["detector"], s["confidence"]))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, if it is a plain scan in fewer: a small file has one row group."""
+    spark = df.sparkSession
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    if any(x in plan for x in ("Join", "Aggregate", "Window", "Sort", "Exchange", "Union", "Stream", "InPandas")):
+        return df
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < 2 * cores else df
+
+
 def detect(df: DataFrame, text: str = "text", registry: Registry | None = None) -> DataFrame:
     """df with spans: array<struct<start,end,category,detector,confidence>>, resolved; null for a null text."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    df = df if df.isStreaming else spread(df)
     t = F.col(text)
     found = F.when(may_hold(t), detect_udf(registry)(F.when(may_hold(t), t)))
     return df.withColumn("spans", F.when(t.isNotNull(), F.coalesce(found, F.array().cast(SPANS))))
@@ -222,9 +233,19 @@ def counts(df: DataFrame, key: str) -> DataFrame:
 
 
 def register(spark: SparkSession) -> None:
-    """SQL functions: detect_pii(text) as an array of spans, and detect_pii_rows(text) as a table function."""
+    """SQL functions: detect_pii(text) as an array of spans, mask_text(text, strategy), and detect_pii_rows(text) as a table
+    function."""
+    from .masking import put_masks
+
     registry = default()
     spark.udf.register("detect_pii", detect_udf(registry))
+    names = [f.name for f in SPAN]
+
+    @F.pandas_udf("string")
+    def mask_text(texts: pd.Series, strategies: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else put_masks(t, [dict(zip(names, s)) for s in spans_of(t, registry)], k)[0] for t, k in zip(texts, strategies)])
+
+    spark.udf.register("mask_text", mask_text)
 
     @F.udtf(returnType="start int, end int, category string, detector string, confidence double")
     class DetectPii:

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import hashlib
 import random
+from bisect import bisect_right
+from collections.abc import Callable
 
 import pandas as pd
 import regex
@@ -16,9 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.lexicon import FULL_KEEPS, PARTIAL, SERVICE_WORDS
+from ..functions.lexicon import CATEGORIES, FULL_KEEPS, PARTIAL, SERVICE_WORDS
 from ..functions.validators import INN_10, INN_12, digits
 
+#: The names of the strategies that are always there; `strategy` adds others.
 STRATEGIES = ("full", "partial", "token", "synthetic")
 DIGIT_KEEP = (2, 2)
 REPLACEMENT = T.StructType([T.StructField("c", T.StringType()), T.StructField("o", T.StringType()), T.StructField("m", T.StringType()), T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())])
@@ -174,9 +177,9 @@ def full_of(value: str) -> str:
     return "".join(stars(p) if h else p for p, h in zip(pieces, hide)) if any(hide) else stars(value)
 
 
-def partial_of(value: str, category: str) -> str:
+def partial_of(value: str, category: str, rules: dict = PARTIAL) -> str:
     """mask_partial of one value."""
-    mode, head, tail = PARTIAL.get(category, ("digits", *DIGIT_KEEP))
+    mode, head, tail = rules.get(category, ("digits", *DIGIT_KEEP))
     if mode == "initials":
         return " ".join("-".join(p[:1].upper() + "." for p in w.split("-")) for w in value.split())
     if mode == "date":
@@ -200,6 +203,40 @@ def partial_of(value: str, category: str) -> str:
     return "".join(out)
 
 
+def token_of(value: str, category: str, number: int) -> str:
+    return f"[{category.upper()}_{number}]"
+
+
+#: By name: (value, category, the value's number among those of its category) -> mask.
+MASKS: dict[str, Callable[[str, str, int], str]] = {
+    "full": lambda value, category, number: full_of(value),
+    "partial": lambda value, category, number: partial_of(value, category),
+    "token": token_of,
+    "synthetic": lambda value, category, number: fake(value, category) or token_of(value, category, number),
+}
+
+
+def strategy(name: str, mask: Callable[[str, str, int], str]) -> None:
+    """Add a strategy, or put another in its place. Functions for executors ship their own copy of the registry."""
+    MASKS[name] = mask
+
+
+def partial_rules(config: dict, own: dict | None = None) -> dict[str, tuple[str, int, int]]:
+    """(mode, digits kept at the head, at the tail) by category, from a configuration with `defaults` and `categories`."""
+    modes = {"digits", "initials", "date", "email", "words"}
+    defaults = config.get("defaults", {})
+    out = dict(PARTIAL if own is None else own)
+    for category, rule in config.get("categories", {}).items():
+        if category not in CATEGORIES:
+            raise ValueError(f"unknown category {category!r}")
+        mode = rule.get("mode", defaults.get("mode", "digits"))
+        head, tail = (rule.get(k, defaults.get(k, n)) for k, n in zip(("keep_head", "keep_tail"), DIGIT_KEEP))
+        if mode not in modes or min(head, tail) < 0:
+            raise ValueError(f"{category}: mode {mode!r}, {head} and {tail} digits kept")
+        out[category] = (mode, head, tail)
+    return out
+
+
 def put_masks(text: str, spans: list, strategy: str) -> tuple[str, list[dict]]:
     """The masked text and its replacements. A value keeps the mask that it got first, whatever category it has later;
     token numbers count a category's values as they first occur. Spans that overlap an earlier one or lie outside are left."""
@@ -213,13 +250,7 @@ def put_masks(text: str, spans: list, strategy: str) -> tuple[str, list[dict]]:
         value = text[a:b]
         if value not in known:
             seen[category] = seen.get(category, 0) + 1
-            token = f"[{category.upper()}_{seen[category]}]"
-            if strategy == "token":
-                known[value] = token
-            elif strategy == "synthetic":
-                known[value] = fake(value, category) or token
-            else:
-                known[value] = full_of(value) if strategy == "full" else partial_of(value, category)
+            known[value] = MASKS.get(strategy, MASKS["partial"])(value, category, seen[category])
         mask = known[value]
         out += [text[at:a], mask]
         size += a - at + len(mask)
@@ -271,34 +302,38 @@ def apply(df: DataFrame, strategy: str | Column, text: str = "text", spans: str
 
 
 def restore(masked: str, replacements: list) -> tuple[str, int]:
-    """The originals put back, and how many found no place: first where they were recorded, then where their mask occurs."""
-    order = sorted(replacements, key=lambda r: (r["s"], r["e"]))
-    claims: list[tuple[int, int, str]] = []
-    spots: list[tuple[int, int]] = []
-
-    def free(a: int, b: int) -> bool:
-        return all(b <= x or a >= y for x, y in spots)
+    """The originals put back, and how many found no place: first where they were recorded, then where their mask occurs.
 
+    Places taken are kept in order; the search for a mask goes on where its last one ended.
+    """
+    starts: list[int] = []
+    claims: list[tuple[int, int, str]] = []
     late = []
-    for r in order:
+    for r in sorted(replacements, key=lambda r: (r["s"], r["e"])):
         a, b, m = r["s"], r["e"], r["m"]
-        if m and 0 <= a < b <= len(masked) and masked[a:b] == m and free(a, b):
+        if m and 0 <= a < b <= len(masked) and masked[a:b] == m and (not claims or a >= claims[-1][1]):
             claims.append((a, b, r["o"]))
-            spots.append((a, b))
+            starts.append(a)
         else:
             late.append(r)
     misses = 0
+    reached: dict[str, int] = {}
     for r in late:
-        m, at = r["m"], -1
-        while m and (at := masked.find(m, at + 1)) >= 0 and not free(at, at + len(m)):
-            pass
-        if not m or at < 0:
+        m = r["m"]
+        at = masked.find(m, reached.get(m, 0)) if m else -1
+        while at >= 0:
+            i = bisect_right(starts, at)
+            if (i == 0 or claims[i - 1][1] <= at) and (i == len(starts) or at + len(m) <= starts[i]):
+                break
+            at = masked.find(m, at + 1)
+        reached[m] = at + 1 if at >= 0 else len(masked) + 1
+        if at < 0:
             misses += 1
             continue
-        claims.append((at, at + len(m), r["o"]))
-        spots.append((at, at + len(m)))
+        starts.insert(i, at)
+        claims.insert(i, (at, at + len(m), r["o"]))
     out, at = [], 0
-    for a, b, original in sorted(claims):
+    for a, b, original in claims:
         out += [masked[at:a], original]
         at = b
     return "".join([*out, masked[at:]]), misses

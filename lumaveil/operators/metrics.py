@@ -51,3 +51,35 @@ def in_flight(df: DataFrame, start: str, end: str, *by: str) -> DataFrame:
 
 def percent(n: Column, total: Column) -> Column:
     return F.when(total == 0, 0.0).otherwise(n / total * 100)
+
+
+def exposition(df: DataFrame, name: str, kind: str, value: str, *labels: str) -> DataFrame:
+    """(line): samples in the text format of metric scrapers, one a row, after their type; labels in the order given."""
+    escaped = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col(c).cast("string"), r"\\", r"\\\\"), '"', r'\\"'), "\n", r"\\n")
+    pairs = F.concat_ws(",", *[F.concat(F.lit(f'{c}="'), escaped(c), F.lit('"')) for c in labels])
+    line = F.concat(F.lit(name), F.lit("{") if labels else F.lit(""), pairs, F.lit("}") if labels else F.lit(""), F.lit(" "), F.col(value).cast("string"))
+    head = df.sparkSession.range(1).select(F.lit(f"# TYPE {name} {kind}").alias("line"))
+    return head.unionAll(df.select(line.alias("line")))
+
+
+def load_report(log: DataFrame, seconds: float) -> DataFrame:
+    """(section, name, value) of a request log (route, status, ms): totals, codes ascending, and latencies of good requests."""
+    total = log.agg(F.count("*").alias("n"), F.count_if(F.col("status") == 200).alias("ok"), F.count_if(F.col("status") == 429).alias("busy")).first()
+    spark = log.sparkSession
+    rows = [("load", "requests", float(total.n)), ("load", "achieved_rps", total.n / seconds), ("load", "successful_rps", total.ok / seconds), ("load", "busy_percent", total.busy / total.n * 100 if total.n else 0.0)]
+    codes = log.groupBy("status").agg(F.count("*").cast("double").alias("value")).select(F.lit("codes").alias("section"), F.col("status").cast("string").alias("name"), "value")
+    wanted = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "max": 1.0}
+    ranks = nearest_rank(log.where("status = 200"), "ms", wanted, "route")
+    latencies = ranks.select(F.concat(F.lit("latency "), "route").alias("section"), F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in wanted])))
+    return spark.createDataFrame(rows, "section string, name string, value double").unionByName(codes).unionByName(latencies)
+
+
+def report_text(report: DataFrame) -> str:
+    """The report as Markdown, a table for each section; codes are numbers in order. It has a few dozen rows."""
+    rows = report.collect()
+    out = []
+    for section in sorted({r.section for r in rows}, key=lambda s: (s != "load", s != "codes", s)):
+        mine = [r for r in rows if r.section == section]
+        mine.sort(key=lambda r: (int(r.name) if section == "codes" else 0))
+        out += [f"## {section}", "", "| name | value |", "|-|-|", *(f"| {r.name} | {r.value:g} |" for r in mine), ""]
+    return "\n".join(out)

@@ -1,12 +1,10 @@
-"""Detection by word lists and small grammars: dates in words, names, addresses, places, citizenship, issuers, holders."""
+"""Detection by word lists and small grammars: dates in words, addresses, places, citizenship, issuers, holders."""
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import regex
 
-from ..functions.dictionaries import FAMOUS_PEOPLE, GIVEN_NAMES, SURNAMES, TOWNS
+from ..functions.dictionaries import TOWNS
 from .rules import Span, Text, birth_or_date, left_part, left_word, right_word
 
 # Word lists of the language.
@@ -15,14 +13,6 @@ _TEENS = "десят одиннадцат двенадцат тринадцат
 _TENS = {20: "двадцат", 30: "тридцат", 40: "сороков", 50: "пятидесят", 60: "шестидесят", 70: "семидесят", 80: "восьмидесят", 90: "девяност"}
 _TENS_FIRST = {20: "двадцать", 30: "тридцать", 40: "сорок", 50: "пятьдесят", 60: "шестьдесят", 70: "семьдесят", 80: "восемьдесят", 90: "девяносто"}
 _MONTH = "января февраля марта апреля мая июня июля августа сентября октября ноября декабря".split()
-FIRST_NAMES = frozenset(
-    "александр алексей анатолий андрей антон аркадий артем артём артур борис вадим валентин валерий василий виктор виталий владимир владислав "
-    "вячеслав геннадий георгий глеб григорий даниил данила денис дмитрий евгений егор иван игорь илья кирилл константин лев леонид максим марат "
-    "матвей михаил никита николай олег павел петр пётр роман руслан семен семён сергей станислав степан тимофей тимур федор фёдор филипп эдуард "
-    "юрий яков ярослав александра алина алла анастасия анжела анна антонина валентина валерия варвара вера вероника виктория галина дарья диана "
-    "евгения екатерина елена елизавета жанна зинаида зоя инна ирина карина кристина ксения лариса лидия любовь людмила маргарита марина мария надежда "
-    "наталия наталья нина оксана олеся ольга полина раиса светлана софия софья тамара татьяна ульяна юлия яна ivan petr anna maria sergey olga elena".split()
-) | frozenset(GIVEN_NAMES)
 CITIES = frozenset(
     "москва санкт-петербург новосибирск екатеринбург казань челябинск омск самара уфа красноярск воронеж пермь волгоград саратов тюмень тольятти "
     "ижевск барнаул иркутск ульяновск хабаровск ярославль владивосток махачкала томск оренбург кемерово рязань астрахань пенза липецк киров тула "
@@ -34,20 +24,6 @@ COUNTRIES = (
     "азербайджана", "грузия", "грузии", "молдова", "молдовы", "киргизия", "киргизии", "германия", "германии", "сша", "китай", "китая", "израиль", "израиля",
     "russian federation", "russia", "belarus", "kazakhstan", "usa",
 )
-FAMOUS = frozenset(
-    "пушкин толстой достоевский чехов ломоносов менделеев гагарин чайковский лермонтов гоголь тургенев есенин маяковский суворов кутузов".split()
-)
-KNOWN_SURNAMES = frozenset(SURNAMES)
-SURNAME_ENDS = (
-    "ов", "ев", "ёв", "ин", "ын", "ский", "цкий", "ской", "цкой", "енко", "чук", "юк", "ук", "ова", "ева", "ёва", "ина", "ына", "ская", "цкая", "дзе", "швили", "ян", "их", "ых",
-)
-CASES = ("ой", "ым", "ом", "ем", "у", "а", "е", "ю", "ы", "я", "и", "ей")
-PATRONYMIC = regex.compile(r"(?:ович|евич|ич|овн|евн|ичн|иничн)(?:а|у|ем|ом|е|ы|ой|ою)?$")
-NAME_STOPS = frozenset("банк улица город россия москва клиент паспорт договор карта телефон номер адрес дата год рубль уважаемый здравствуйте добрый день спасибо".split())
-NAME_WORDS = (
-    "фио", "ф.и.о.", "имя", "фамилия", "клиент", "клиента", "клиентка", "заявитель", "гражданин", "гражданка", "зовут", "меня зовут", "получатель",
-    "владелец", "отправитель", "сотрудник", "пациент", "name", "уважаемый", "уважаемая", "господин", "госпожа",
-)
 HOLDER_WORDS = ("держатель", "держатель карты", "владелец карты", "cardholder", "card holder", "name on card", "имя на карте")
 HOLDER_STOPS = frozenset("visa mastercard mir maestro card bank gold platinum classic debit credit world electron unionpay valid thru month year cvv cvc pin sms".split())
 ISSUE_AT = ("кем выдан", "паспорт выдан", "выдан", "выдано", "выдала", "орган, выдавший")
@@ -78,12 +54,9 @@ def _years() -> str:
 DATE_WORDS = regex.compile(rf"(?<!\p{{L}})(?:{'|'.join(_days())})\s+(?:{'|'.join(_MONTH)})\s+{_years()}(?:\s+(?:года|г\.))?(?![\p{{L}}\p{{N}}])")
 
 
-CYRILLIC = regex.compile("[А-Яа-яЁё]")
-
-
 def russian(find):
     """The detector for texts with Cyrillic letters only."""
-    return lambda t: find(t) if CYRILLIC.search(t.raw) else []
+    return lambda t: find(t) if t.cyrillic else []
 
 
 def dates_in_words(t: Text) -> list[Span]:
@@ -95,97 +68,6 @@ def dates_in_words(t: Text) -> list[Span]:
     return out
 
 
-TOKEN = regex.compile(r"\p{Lu}\.|[\p{L}]+(?:-[\p{L}]+)*")
-
-
-def is_first_name(word: str) -> bool:
-    w = word.lower()
-    if w in FIRST_NAMES:
-        return True
-    for end in CASES:
-        if w.endswith(end) and len(w) - len(end) >= 3:
-            stem = w[: -len(end)]
-            if stem in FIRST_NAMES or any(stem + e in FIRST_NAMES for e in ("а", "я", "й", "ь")):
-                return True
-    return w in ("павла", "павлу", "павлом", "петра", "петру", "петром", "льва", "львом")
-
-
-def is_surname(word: str) -> bool:
-    w = word.lower()
-    if w in NAME_STOPS or len(w) < 4 and w not in KNOWN_SURNAMES:
-        return False
-    if w in KNOWN_SURNAMES or any(w.endswith(c) and (w[: -len(c)] in KNOWN_SURNAMES or w[: -len(c)] + "а" in KNOWN_SURNAMES) for c in CASES):
-        return True
-    return w.endswith(SURNAME_ENDS) or any(w.endswith(c) and w[: -len(c)].endswith(SURNAME_ENDS[:13]) for c in CASES)
-
-
-def is_patronymic(word: str) -> bool:
-    return len(word) >= 6 and bool(PATRONYMIC.search(word.lower()))
-
-
-@lru_cache(maxsize=1 << 16)
-def _kinds(word: str) -> set[str]:
-    if regex.fullmatch(r"\p{Lu}\.", word):
-        return {"I"}
-    if word.lower() in NAME_STOPS or not word[0].isupper():
-        return set()
-    out = {"U"}
-    if is_first_name(word):
-        out.add("N")
-    if is_surname(word):
-        out.add("S")
-    if is_patronymic(word):
-        out.add("P")
-    return out
-
-
-#: Sequences of kinds, best first, with their confidence and whether a keyword has to be near. U is any capitalised word.
-NAME_SHAPES = (
-    ("SNP", 0.95, False), ("NPS", 0.95, False), ("SII", 0.95, False), ("NII", 0.95, False), ("IIS", 0.95, False), ("SUP", 0.95, False), ("UPS", 0.9, False),
-    ("UNP", 0.9, False), ("NS", 0.85, False), ("SN", 0.85, False), ("NP", 0.85, True), ("UP", 0.85, True), ("SU", 0.9, True), ("US", 0.85, True), ("N", 0.8, True), ("S", 0.75, True), ("P", 0.75, True),
-)
-
-
-def _gap(t: Text, a: int, b: int) -> bool:
-    return bool(regex.fullmatch(r"[ \t  ]{0,2}", t.raw[a:b]))
-
-
-LATIN_NAME = regex.compile(r"(?<!\p{L})[A-Z][a-z]+(?:[ -][A-Z][a-z]+){1,2}(?!\p{L})")
-
-
-def names(t: Text) -> list[Span]:
-    tokens = [(m.start(), m.end(), _kinds(m.group())) for m in TOKEN.finditer(t.raw)]
-    out: list[Span] = []
-    at = 0
-    while at < len(tokens):
-        if not tokens[at][2]:
-            at += 1
-            continue
-        for shape, confidence, needs in NAME_SHAPES:
-            run = tokens[at : at + len(shape)]
-            if len(run) < len(shape) or any(k not in r[2] for k, r in zip(shape, run)):
-                continue
-            if any(not _gap(t, a[1], b[0]) for a, b in zip(run, run[1:])):
-                continue
-            start, end = run[0][0], run[-1][1]
-            if needs and left_word(t, start, 30, NAME_WORDS) is None:
-                continue
-            words = {w.lower() for w in TOKEN.findall(t.raw[start:end])}
-            known = any(any(w.startswith(f[:-1]) and abs(len(w) - len(f)) <= 2 for f in FAMOUS) for w in words)
-            known = known or any(all(any(w.startswith(f[:-1]) and abs(len(w) - len(f)) <= 2 for w in words) for f in who.split()) for who in FAMOUS_PEOPLE)
-            if known and left_word(t, start, 30, NAME_WORDS) is None:
-                at += len(shape) - 1
-                break
-            out.append((start, end, "full_name", "names", confidence))
-            at += len(shape) - 1
-            break
-        at += 1
-    for m in LATIN_NAME.finditer(t.raw):
-        if left_word(t, m.start(), 40, NAME_WORDS) is not None:
-            out.append((*m.span(), "full_name", "names", 0.9))
-    return out
-
-
 MANY_DIGITS = regex.compile(r"[0-9](?:[ -]?[0-9]){12}")
 
 
@@ -193,7 +75,8 @@ def holders(t: Text) -> list[Span]:
     from ..functions.validators import luhn
 
     near = any(w in t.low for w in HOLDER_WORDS)
-    digits = MANY_DIGITS.search(t.raw)
+    some = t.regions.get(r"\d+")  # where the rules found digits
+    digits = MANY_DIGITS.search(t.raw) if some is None or any(n >= 13 for _, _, n in some) else None
     if not near and not digits:
         return []
     card = digits is not None and any(luhn(m.group()) for m in regex.finditer(r"[0-9](?:[ -]?[0-9]){12,18}", t.raw))

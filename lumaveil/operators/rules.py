@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+import re
+from dataclasses import fields
+from functools import cached_property, lru_cache
 
+import ahocorasick
 import regex
 
-from ..functions.lexicon import BIRTH_WORDS, BIRTH_WORDS_AFTER, RULES, Rule
+from ..functions.lexicon import BIRTH_WORDS, BIRTH_WORDS_AFTER, CATEGORIES, RULES, Rule
 from ..functions.validators import VALIDATORS
 
 #: (start, end, category, detector, confidence), in code points
@@ -55,15 +58,23 @@ _DATE_LIKE = (
 )
 
 
+CYRILLIC = re.compile("[А-Яа-яЁё]")
+
+
 class Text:
     """A text with its lower-case form of equal length (letters that change their length stay as they are)."""
 
     def __init__(self, raw: str):
         self.raw = raw
-        self.regions: dict[str, list[tuple[int, int]]] = {}
+        self.keywords: set[str] = set()
+        self.regions: dict[str, list[tuple[int, int, int]]] = {}
         low = raw.lower()
         self.low = low if len(low) == len(raw) else "".join(c.lower() if len(c.lower()) == 1 else c for c in raw)
 
+    @cached_property
+    def cyrillic(self) -> bool:
+        return not self.raw.isascii() and CYRILLIC.search(self.raw) is not None
+
     def before(self, at: int, n: int) -> str:
         return self.low[max(0, at - n) : at]
 
@@ -144,30 +155,74 @@ def _bounds(rule: Rule, m) -> tuple[int, int]:
 REACH = 64
 
 
-def regions(t: Text, mark: str) -> list[tuple[int, int]]:
-    """Stretches of the text within REACH characters of a mark, which each match holds."""
+def regions(t: Text, mark: str) -> list[tuple[int, int, int]]:
+    """Stretches of the text within REACH characters of a mark, which each match holds, and how many of the marks' characters a
+    match there can hold."""
     out: list[list[int]] = []
+    before = own = 0
     for m in compiled(mark).finditer(t.raw):
-        a, b = max(0, m.start() - REACH), min(len(t.raw), m.end() + REACH)
+        start, end = m.span()
+        a, b = max(0, start - REACH), min(len(t.raw), end + REACH)
+        own = end - start + (own if out and "@" not in t.raw[before:start] else 0)  # no match goes over an @
         if out and a <= out[-1][1]:
             out[-1][1] = b
+            out[-1][2] = max(own, out[-1][2])
         else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+            own = end - start
+            out.append([a, b, own])
+        before = end
+    return [(a, b, n) for a, b, n in out]
 
 
 def matches(t: Text, rule: Rule):
-    text = t.low if rule.lower else t.raw
-    mark = "@" if rule.category == "email" else r"\d+"
+    mark = r"\d+" if rule.least else "@"
     if mark not in t.regions:
         t.regions[mark] = regions(t, mark)
-    for a, b in t.regions[mark]:
-        yield from compiled(rule.pattern).finditer(text, a, b)
+    if not t.regions[mark]:
+        return
+    text, pattern = t.low if rule.lower else t.raw, compiled(rule.pattern)
+    for a, b, n in t.regions[mark]:
+        if n >= rule.least:
+            yield from pattern.finditer(text, a, b)
+
+
+def category_of(t: Text, start: int, end: int, rule: Rule) -> str:
+    """The rule's category, or the first other one whose keyword stands on its side of the match."""
+    if rule.dates:
+        return birth_or_date(t, start, end)
+    for category, left, right in rule.reclassify:
+        if left and left_word(t, start, rule.left, left) is not None or right and right_word(t, end, rule.right, right) is not None:
+            return category
+    return rule.category
+
+
+def from_config(items: list[dict]) -> tuple[Rule, ...]:
+    """Rules from a configuration (lists of fields by name), keywords in lower case; raises on what cannot work."""
+    known = {f.name for f in fields(Rule)}
+    out = []
+    for item in items:
+        name = item.get("name", "")
+        if unknown := set(item) - known:
+            raise ValueError(f"rule {name!r}: unknown fields {sorted(unknown)}")
+        if item.get("category") not in CATEGORIES:
+            raise ValueError(f"rule {name!r}: unknown category {item.get('category')!r}")
+        if item.get("validator", "") not in ("", *VALIDATORS):
+            raise ValueError(f"rule {name!r}: unknown validator {item['validator']!r}")
+        try:
+            compiled(item["pattern"])
+        except (KeyError, regex.error) as e:
+            raise ValueError(f"rule {name!r}: {e}") from e
+        words = {k: tuple(w.lower() for w in item[k]) for k in ("soft", "context", "after", "reject", "deny", "tags") if k in item}
+        other = tuple((c, tuple(w.lower() for w in a), tuple(w.lower() for w in b)) for c, a, b in item.get("reclassify", ()))
+        if unknown := {c for c, _, _ in other} - set(CATEGORIES):
+            raise ValueError(f"rule {name!r}: unknown categories {sorted(unknown)}")
+        out.append(Rule(**(item | words | {"reclassify": other, "least": item.get("least", 1)})))
+    return tuple(out)
 
 
 def match_rule(t: Text, rule: Rule) -> list[Span]:
     out: list[Span] = []
-    if rule.required and not any(w in t.low for w in rule.context + rule.after + rule.soft):
+    if rule.required and not any(w in t.keywords for w in rule.context + rule.after + rule.soft):
         return out
     for m in matches(t, rule):
         start, end = _bounds(rule, m)
@@ -198,9 +253,27 @@ def match_rule(t: Text, rule: Rule) -> list[Span]:
         confidence = rule.confidence - 0.2 * soft
         if distance is not None:
             confidence += 0.05 + 0.01 * (1 - distance / BONUS_WINDOW)
-        out.append((start, end, birth_or_date(t, start, end) if rule.dates else rule.category, "regex", confidence))
+        out.append((start, end, category_of(t, start, end, rule), "regex", confidence))
+    return out
+
+
+@lru_cache(maxsize=16)
+def automaton(rules: tuple[Rule, ...]):
+    """Finds the keywords of rules that need one, all in one pass; None without any."""
+    words = {w for r in rules if r.required for w in r.context + r.after + r.soft}
+    if not words:
+        return None
+    out = ahocorasick.Automaton()
+    for w in words:
+        out.add_word(w, w)
+    out.make_automaton()
     return out
 
 
 def detect(t: Text, rules: tuple[Rule, ...] = RULES) -> list[Span]:
-    return [s for r in rules for s in match_rule(t, r)]
+    marks = regions(t, r"\d+")
+    t.regions[r"\d+"] = marks
+    most = max((n for _, _, n in marks), default=0)
+    words = automaton(rules)
+    t.keywords = {w for _, w in words.iter(t.low)} if most and words else set()
+    return [s for r in rules if r.least <= most and (r.least or "@" in t.raw) and (t.keywords or not r.required) for s in match_rule(t, r)]

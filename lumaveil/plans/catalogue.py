@@ -14,6 +14,7 @@ from ..functions.dictionaries import GIVEN_NAMES, SURNAMES, TOWNS
 from ..functions import columns as C
 from ..operators import accuracy, detect, masking, metrics, policy
 from ..sources import files, records
+from ..sources.shared import shared_folder
 from . import process
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -571,27 +572,23 @@ def streaming_process_parity(spark, sf):
     k = F.col("n_nationkey").cast("string")
     one = made.select((F.col("n_nationkey") * 2).cast("long").alias("seq"), F.concat(F.lit("mail u"), k, F.lit("@m.ru")).alias("payload"), k.alias("payload_id"))
     two = made.select((F.col("n_nationkey") * 2 + 1).cast("long").alias("seq"), F.lit("answer to [EMAIL_1]").alias("payload"), k.alias("payload_id"))
-    folder = f"{process_folder(spark)}/{hashlib.sha256(sf.encode()).hexdigest()[:8]}-{uuid.uuid4().hex}"
-    rows = one.unionByName(two).withColumn("system", F.lit("default")).withColumn("unmask", F.lit(True))
+    folder = f"{shared_folder(spark)}/{hashlib.sha256(sf.encode()).hexdigest()[:8]}-{uuid.uuid4().hex}"
+    none = made.select((F.col("n_nationkey") * 2 + 1000).cast("long").alias("seq"), F.lit(None).cast("string").alias("payload"), k.alias("payload_id"))
+    foreign = made.select((F.col("n_nationkey") * 2 + 2000).cast("long").alias("seq"), F.lit("answer to [EMAIL_1]").alias("payload"), k.alias("payload_id"))
+    rows = one.unionByName(two).unionByName(none).withColumn("system", F.lit("default")).unionByName(foreign.withColumn("system", F.lit("other"))).withColumn("unmask", F.lit(True))
     rows.write.mode("overwrite").parquet(f"{folder}/in")
-    answers = stream.process(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), ID_KEY)
+    answers = stream.process(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), ID_KEY, _seal_key())
     run = answers.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/ck").trigger(availableNow=True).start()
     run.awaitTermination(120)
     run.stop()
-    return spark.read.parquet(f"{folder}/out").select("seq", "outcome", "result", "misses")
-
-
-def process_folder(spark: SparkSession) -> str:
-    """The shared folder for intermediate files; a temporary one only where none is named."""
-    import tempfile
-
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named or tempfile.mkdtemp(prefix="lumaveil-")
+    return spark.read.parquet(f"{folder}/out").select("seq", "status", "outcome", "result", "misses")
 
 
 ORACLE_SQL["streaming_process_parity"] = """
-select (n_nationkey * 2)::bigint as seq, 'masked' as outcome, 'mail [EMAIL_1]' as result, null::int as misses from nation
-union all select (n_nationkey * 2 + 1)::bigint, 'restored', 'answer to u' || n_nationkey || '@m.ru', 0 from nation"""
+select (n_nationkey * 2)::bigint as seq, 200 as status, 'masked' as outcome, 'mail [EMAIL_1]' as result, null::int as misses from nation
+union all select (n_nationkey * 2 + 1)::bigint, 200, 'restored', 'answer to u' || n_nationkey || '@m.ru', 0 from nation
+union all select (n_nationkey * 2 + 1000)::bigint, 400, null, null, null from nation
+union all select (n_nationkey * 2 + 2000)::bigint, 200, 'foreign', 'answer to [EMAIL_1]', null from nation"""
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.columns import estimate_tokens, hashed_id
 from ..operators import detect, masking, policy
 from ..sources import records
+from ..sources.shared import written
+
+#: Systems up to which their table is broadcast; a row has policies only.
+FEW_SYSTEMS = 10_000
 
 
 def masked_by_policy(df: DataFrame, text: str = "text") -> DataFrame:
@@ -27,17 +31,17 @@ def process(requests: DataFrame, systems: DataFrame, store: DataFrame, key: Colu
     """
     r = requests.withColumn("status", policy.request_status(F.col("payload"), F.col("payload_id")))
     s = systems.select(F.col("id").alias("system"), "enabled", "categories", "combo_rules", "strategy", "unmask")
-    r = r.join(F.broadcast(s), "system", "left")
+    r = r.join(F.broadcast(s) if systems.count() <= FEW_SYSTEMS else s, "system", "left")
     r = r.withColumn("status", F.when(F.col("status") != 200, F.col("status")).when(~F.coalesce("enabled", F.lit(False)), 403).otherwise(200))
     good = r.where("status = 200").withColumn("id_hash", hashed_id(id_key, F.col("payload_id"))).withColumn("hash", F.sha2("payload", 256))
-    masked = masked_by_policy(good, "payload").join(records.load(store, key, now).withColumnRenamed("record", "held"), "id_hash", "left")
+    # detection runs once; an id with many requests is one key of an aggregate and of joins that split it
+    masked = written(masked_by_policy(good, "payload")).join(records.load(store, key, now).withColumnRenamed("record", "held"), "id_hash", "left")
     own_record = F.struct("replacements", "strategy", now.alias("created_at"), F.col("masked"), "hash", "system")
-    first = F.first(F.struct("seq", own_record.alias("record"))).over(Window.partitionBy("id_hash").orderBy("seq"))
-    met = masked.withColumn("_first", F.when(F.col("held").isNull(), first))
+    firsts = masked.where("held is null").groupBy("id_hash").agg(F.min_by(F.struct("seq", own_record.alias("record")), "seq").alias("_first"))
+    met = masked.join(firsts, "id_hash", "left")
     met = met.withColumn("first", F.col("_first.seq")).withColumn("record", F.coalesce("held", "_first.record"))
-    won = met.where("first = seq").select("id_hash", "record")
-    owner = F.coalesce(F.col("record.system"), F.lit(""))
-    own = F.when(owner == "", F.col("system") == default_system).otherwise(owner == F.col("system"))
+    won = firsts.select("id_hash", F.col("_first.record").alias("record"))
+    own = owned(F.col("record"), F.col("system"), default_system)
     met = met.withColumn("_r", masking.restore_udf("payload", "record.replacements"))
     outcome = (
         F.when(F.col("first") == F.col("seq"), "masked")
@@ -64,6 +68,46 @@ def mask_outcome(store_hash: Column, store_masked: Column, owned: Column, text:
     )
 
 
+def counts_from_record(record: Column) -> Column:
+    """map<category, count> of a record's replacements."""
+    each = F.transform(record["replacements"], lambda r: r["c"])
+    return F.map_from_entries(F.transform(F.array_distinct(each), lambda c: F.struct(c, F.size(F.filter(each, lambda x: x == c)))))
+
+
+def owned(record: Column, system: Column, default_system: str) -> Column:
+    """Whether the system owns the record; one without an owner is the default system's."""
+    owner = F.coalesce(record["system"], F.lit(""))
+    return F.when(owner == "", system == default_system).otherwise(owner == system)
+
+
+def mask(requests: DataFrame, store: DataFrame, key: Column, id_key: bytes, now: Column, ttl: int = 3600, default_system: str = "default") -> tuple[DataFrame, DataFrame]:
+    """(responses, records to save) of masking (text, id, system, categories, combo_rules, strategy), one request an id.
+
+    outcome and status: stored 200, overwrite 200 (an own record with other text is replaced), idempotent 200 (the stored
+    mask comes back), conflict 409 (the record is another system's), looks_like_unmask 409 (the text is the stored mask).
+    """
+    r = requests.withColumn("id_hash", hashed_id(id_key, F.col("id"))).join(records.load(store, key, now).withColumnRenamed("record", "held"), "id_hash", "left")
+    outcome = mask_outcome(F.col("held.hash"), F.col("held.masked"), owned(F.col("held"), F.col("system"), default_system), F.col("text"))
+    met = written(masked_by_policy(r.withColumn("outcome", outcome)))
+    done = F.col("outcome").isin("stored", "overwrite")
+    result = F.when(done, F.col("masked")).when(F.col("outcome") == "idempotent", F.col("held.masked"))
+    found = F.when(done, counts_from_record(F.col("_d"))).when(F.col("outcome") == "idempotent", counts_from_record(F.col("held")))
+    met = met.withColumn("_d", F.struct("replacements"))
+    answers = met.select("id", "system", "outcome", F.when(F.col("outcome").isin("conflict", "looks_like_unmask"), 409).otherwise(200).alias("status"), result.alias("result"), found.alias("found"))
+    record = F.struct("replacements", F.coalesce("strategy", F.lit("partial")).alias("strategy"), now.alias("created_at"), F.col("masked"), F.sha2("text", 256).alias("hash"), "system")
+    expires = F.when(F.lit(ttl) > 0, now + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(ttl)))
+    return answers, met.where(done).select("id_hash", records.seal(record, key).alias("sealed"), expires.alias("expires_at"))
+
+
+def unmask(requests: DataFrame, store: DataFrame, key: Column, id_key: bytes, now: Column, default_system: str = "default") -> DataFrame:
+    """(id, system, status, restored, misses) of unmasking (id, text, system): 404 without a live record of the system's
+    own, and for another system's record too, so that nobody learns of it."""
+    r = requests.withColumn("id_hash", hashed_id(id_key, F.col("id"))).join(records.load(store, key, now), "id_hash", "left")
+    mine = F.col("record").isNotNull() & F.coalesce(owned(F.col("record"), F.col("system"), default_system), F.lit(False))
+    r = r.withColumn("_m", mine).withColumn("_r", masking.restore_udf(F.when(F.col("_m"), F.col("text")), "record.replacements"))
+    return r.select("id", "system", F.when(F.col("_m"), 200).otherwise(404).alias("status"), F.when(F.col("_m"), F.col("_r.restored")).alias("restored"), F.when(F.col("_m"), F.col("_r.misses")).alias("misses"))
+
+
 def request_log(answers: DataFrame, requests: DataFrame, id_key: bytes, route: str = "process") -> DataFrame:
     """One row a request, without a text or an id: counts, and the id's hash."""
     sizes = requests.select("seq", F.char_length("payload").alias("text_len"), estimate_tokens(F.col("payload")).alias("tokens"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +63,27 @@ def systems(spark: SparkSession, items: list[dict]) -> DataFrame:
     return spark.createDataFrame([tuple((default | s).get(n) for n in names) for s in items], SYSTEM)
 
 
+def combo_rules(path: str) -> list[dict]:
+    """Combo rules (category, requires_any) from a JSON file, with known categories."""
+    with open(path, encoding="utf-8") as f:
+        items = json.load(f)
+    for r in items:
+        if unknown := {r["category"], *r["requires_any"]} - set(CATEGORIES):
+            raise ValueError(f"unknown categories {sorted(unknown)}")
+    return [{"category": r["category"], "requires_any": list(r["requires_any"])} for r in items]
+
+
+def dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """(word) of a word list: a word a line, in lower case, without blank lines, comments (#) and repeats."""
+    lines = spark.read.text(path).select(F.lower(F.trim("value")).alias("word"))
+    return lines.where("word <> '' and not startswith(word, '#')").distinct()
+
+
+def loads(spark: SparkSession, path: str) -> DataFrame:
+    """(id, text) of a load corpus in JSON lines; lines without a text are left out."""
+    return spark.read.schema(LOAD).json(path).where("text is not null")
+
+
 CHUNK = "choices array<struct<delta:struct<content:string>,finish_reason:string>>, usage struct<total_tokens:bigint>"
 
 

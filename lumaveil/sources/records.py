@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import base64
+import binascii
+import os
+import secrets
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +20,21 @@ RECORD = T.StructType(
 )
 
 
+def key_from_env(name: str) -> bytes:
+    """32 bytes in hex or base64 from an environment variable; a random key where it is not set."""
+    raw = os.environ.get(name, "")
+    if not raw:
+        return secrets.token_bytes(32)
+    for read in (binascii.unhexlify, lambda x: base64.b64decode(x, validate=True)):
+        try:
+            key = read(raw)
+        except (binascii.Error, ValueError):
+            continue
+        if len(key) == 32:
+            return key
+    raise ValueError(f"{name} is no key of 32 bytes in hex or base64")
+
+
 def seal(record: Column, key: Column) -> Column:
     """AES-GCM of the record's JSON: nonce, ciphertext and tag in one binary. The key is a column, so that it is no literal of a plan."""
     return F.aes_encrypt(F.to_json(record).cast("binary"), key, F.lit("GCM"))
@@ -56,7 +76,8 @@ def save_new(store: DataFrame, new: DataFrame, now: Column, *order: str) -> tupl
 
 def save(store: DataFrame, new: DataFrame, *order: str) -> DataFrame:
     """The store after an upsert in which the last write of an id wins."""
-    back = first_per(new, "id_hash", *[F.struct((-F.col(o).cast("double")).alias("o")) for o in order])
+    rows = new.withColumn("_o", F.struct(*order)).withColumn("_r", F.struct(*new.columns))
+    back = rows.groupBy("id_hash").agg(F.max_by("_r", "_o").alias("_r")).select("_r.*")
     return store.join(back.select("id_hash"), "id_hash", "left_anti").unionByName(back.select(*store.columns))
 
 
