@@ -100,7 +100,6 @@ def _rng(category: str, value: str) -> random.Random:
     return random.Random(hashlib.sha256(f"{category}\0{value}".encode()).digest())
 
 
-_CHECKED = {"passport": 10, "phone": 11, "snils": 11}
 _MALE = ("Алексеев Алексей Алексеевич", "Борисов Борис Борисович", "Сергеев Сергей Сергеевич", "Николаев Николай Николаевич", "Павлов Павел Павлович")
 _FEMALE = ("Алексеева Анна Алексеевна", "Борисова Вера Борисовна", "Сергеева Ольга Сергеевна", "Николаева Нина Николаевна", "Павлова Елена Павловна")
 
@@ -130,33 +129,68 @@ def _check_snils(rng: random.Random) -> str:
     return "".join(map(str, d)) + f"{0 if check >= 100 else check:02d}"
 
 
+_LATIN_NAMES = ("Alex", "Brooke", "Casey", "Drew", "Ellis", "Frances", "Harper", "Jordan", "Morgan", "Robin", "Taylor", "Quinn")
+_MONTHS_OF = "января февраля марта апреля мая июня июля августа сентября октября ноября декабря".split()
+_WORD_DATE = regex.compile(r"([0-9]{1,2})(\S*)(\s+)(\p{L}+)(\.?\s+)([0-9]{4})(.*)", regex.DOTALL)
+
+
+def _some(rng: random.Random, n: int, first: int = 0) -> str:
+    return "".join(str(rng.randrange(first, 10)) for _ in range(n))
+
+
+def _fake_name(value: str, rng: random.Random) -> str:
+    """A name of as many words, with initials, capitals and the alphabet of the old one."""
+    words = value.split()
+    known = (_FEMALE if words[-1].lower().rstrip(".").endswith(("а", "я")) else _MALE)[rng.randrange(5)].split()
+    out = []
+    for i, w in enumerate(words):
+        latin = w.isascii()
+        new = _LATIN_NAMES[rng.randrange(len(_LATIN_NAMES))] if latin else known[min(i, 2)]
+        if regex.fullmatch(r"\p{L}\.", w):
+            new = new[0] + "."
+        elif len(w) > 1 and w.isupper():
+            new = new.upper()
+        out.append(new.lower() if w.islower() else new)
+    return " ".join(out)
+
+
+def _fake_date(value: str, rng: random.Random) -> str | None:
+    day, month, year = rng.randrange(1, 29), rng.randrange(1, 13), rng.randrange(1950, 2006)
+    if m := regex.fullmatch(r"([0-9]{1,4})([./-])([0-9]{1,2})\2([0-9]{1,4})", value):
+        if len(m[1]) == 4:
+            return f"{year}{m[2]}{month:02d}{m[2]}{day:02d}"
+        return f"{day:02d}{m[2]}{month:02d}{m[2]}{year if len(m[4]) == 4 else year % 100:0{len(m[4])}d}"
+    if m := _WORD_DATE.fullmatch(value):
+        return f"{day}{m[2]}{m[3]}{_MONTHS_OF[month - 1]}{m[5].lstrip('.')}{year}{m[7]}"
+    return None
+
+
 def fake(value: str, category: str) -> str | None:
     """A valid value of the same layout, the same for the same input; None where there is none (a token takes its place)."""
     rng, d = _rng(category, value), digits(value)
+    n = len(d)
     for _ in range(20):
         out = None
-        if category == "full_name":
-            words = value.split()
-            names = (_FEMALE if words[-1].lower().endswith(("а", "я", "на")) else _MALE)[rng.randrange(5)].split()
-            out = " ".join(names[: max(1, min(3, len(words)))])
+        if category in ("full_name", "card_holder"):
+            out = _fake_name(value, rng)
         elif category == "email":
             out = f"user{hashlib.sha256(value.encode()).hexdigest()[:6]}@example.com"
-        elif category == "card_number" and len(d) == 16:
-            out = _spread(value, _check_luhn("4" + "".join(str(rng.randrange(10)) for _ in range(14))))
-        elif category == "inn" and len(d) in (10, 12):
-            out = _spread(value, _check_inn(rng, len(d)))
-        elif category == "snils" and len(d) == 11:
+        elif category == "card_number" and 13 <= n <= 19:
+            out = _spread(value, _check_luhn("4" + _some(rng, n - 2)))
+        elif category == "inn" and n in (10, 12):
+            out = _spread(value, _check_inn(rng, n))
+        elif category == "snils" and n == 11:
             out = _spread(value, _check_snils(rng))
-        elif category == "phone" and len(d) == 11:
-            out = _spread(value, d[0] + "9" + "".join(str(rng.randrange(10)) for _ in range(9)))
-        elif category == "passport" and len(d) == 10 and regex.fullmatch(r"[0-9 №  ]+", value):
-            out = _spread(value, "".join(str(rng.randrange(1, 10)) for _ in range(10)))
-        elif category in ("date", "birth_date", "passport_date") and (m := regex.fullmatch(r"([0-9]{1,4})([./-])([0-9]{1,2})\2([0-9]{1,4})", value)):
-            day, month, year = rng.randrange(1, 29), rng.randrange(1, 13), rng.randrange(1950, 2006)
-            if len(m[1]) == 4:
-                out = f"{year}{m[2]}{month:02d}{m[2]}{day:02d}"
-            else:
-                out = f"{day:02d}{m[2]}{month:02d}{m[2]}{year if len(m[4]) == 4 else year % 100:0{len(m[4])}d}"
+        elif category == "phone" and n == 11:
+            out = _spread(value, d[0] + "9" + _some(rng, 9))
+        elif category == "phone" and n >= 10:
+            out = _spread(value, d[: n - 7] + _some(rng, 7, 1))
+        elif category == "passport" and n == 10 and regex.fullmatch(r"[0-9 №  ]+", value):
+            out = _spread(value, _some(rng, 10, 1))
+        elif category in ("foreign_passport", "driver_license", "division_code", "id_document", "cvv", "pin") and n:
+            out = _spread(value, _some(rng, n, 1))
+        elif category in ("date", "birth_date", "passport_date"):
+            out = _fake_date(value, rng)
         if out is None or out != value:
             return out
     return None

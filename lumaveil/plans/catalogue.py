@@ -81,16 +81,30 @@ select doc_id, (list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce
 
 
 @query(SPANS_SQL.format(p=EMAIL.replace("'", "''")))
-def detect_email(spark, sf):
+def find_spans_native(spark, sf):
     d = table(spark, sf, "documents").withColumn("s", F.explode(C.find_spans(F.col("text"), EMAIL, "email", 0.95)))
     return d.select("doc_id", F.col("s.start").alias("start"), F.col("s.value").alias("value"))
 
 
-@query(f"""with e as (select doc_id, unnest(regexp_extract_all(text, '{EMAIL}')) as value from documents)
-select doc_id, value from e where not (lower(split_part(value, '@', 2)) = 'alfabank.ru' and lower(split_part(value, '@', 1)) in ('info', 'support', 'noreply'))""")
+ANY_EMAIL = r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}.-]+\.\p{L}{2,}"
+
+
+@query(SPANS_SQL.format(p=ANY_EMAIL))
+def detect_email(spark, sf):
+    """What the detectors find in whole documents, of the category email."""
+    d = detect.detect(table(spark, sf, "documents")).withColumn("s", F.explode("spans")).where("s.category = 'email'")
+    return d.select("doc_id", F.col("s.start").alias("start"), F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("value"))
+
+
+@query("""with k as (select c_custkey, (['info', 'support', 'noreply', 'ivan', 'infos'])[c_custkey % 5 + 1] as l, (['alfabank.ru', 'example.ru'])[c_custkey % 2 + 1] as d from customer)
+select c_custkey, l || '@' || d as value from k where not (d = 'alfabank.ru' and l in ('info', 'support', 'noreply'))""")
 def detect_email_service_filter(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(f"({EMAIL})"))).alias("value"))
-    return d.where(C.not_service_email(F.col("value")))
+    k = F.col("c_custkey")
+    own = F.element_at(F.array(*[F.lit(x) for x in ("info", "support", "noreply", "ivan", "infos")]), (k % 5 + 1).cast("int"))
+    domain = F.element_at(F.array(F.lit("alfabank.ru"), F.lit("example.ru")), (k % 2 + 1).cast("int"))
+    d = detect.detect(table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("адрес "), own, F.lit("@"), domain, F.lit(", да")).alias("text")))
+    d = d.select("c_custkey", "text", F.explode("spans").alias("s"))
+    return d.select("c_custkey", F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("value"))
 
 
 LUHN_SQL = "(list_sum(list_transform(range(1, length({d}) + 1), lambda i: case when (length({d}) - i) % 2 = 1 then (case when substr({d}, i, 1)::int * 2 > 9 then substr({d}, i, 1)::int * 2 - 9 else substr({d}, i, 1)::int * 2 end) else substr({d}, i, 1)::int end)) % 10 = 0)"
@@ -348,32 +362,60 @@ def mask_token(spark, sf):
     return masking.apply(detect.detect(d), "token").select("o_custkey", "masked")
 
 
-@query(f"with k as (select c_custkey, {_key_sql(15)} as d from customer) select c_custkey, true as valid, true as other from k")
-def mask_synthetic_valid(spark, sf):
-    d = table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("карта 4"), _key(15)).alias("text"))
-    d = d.withColumn("spans", F.array(F.struct(F.lit(6).alias("start"), F.lit(22).alias("end"), F.lit("card_number").alias("category"))))
-    d = masking.apply(d, "synthetic").withColumn("new", F.substring("masked", 7, 16))
-    return d.select("c_custkey", C.luhn(F.col("new")).alias("valid"), (F.col("new") != F.substring("text", 7, 16)).alias("other"))
+_SYNTHETIC = (
+    ("card_number", "4111 1111 1111 1111", "9999 9999 9999 9999"), ("card_number", "4111-1111-1111-111", "9999-9999-9999-999"), ("inn", "500100732259", "999999999999"),
+    ("inn", "7707 083 893", "9999 999 999"), ("snils", "112-233-445 95", "999-999-999 99"), ("phone", "+7 (916) 123-45-67", "+9 (999) 999-99-99"),
+    ("passport", "4509 123456", "9999 999999"), ("foreign_passport", "71 1234567", "99 9999999"), ("division_code", "770-001", "999-999"),
+    ("driver_license", "77 АВ 123456", "99 АВ 999999"), ("cvv", "123", "999"), ("pin", "1234", "9999"), ("birth_date", "05.12.1985", "99.99.9999"), ("date", "1985-12-05", "9999-99-99"),
+    ("id_document", "АБ 1234567", "АБ 9999999"), ("phone", "+49 151 2345678", "+99 999 9999999"),
+)
 
 
-# --- offsets, restoring, counts
+@query(f"""select c_custkey, v[1] as category, v[3] as layout, true as valid, true as other from
+(select c_custkey, ([{', '.join(str(list(x)) for x in _SYNTHETIC)}])[c_custkey % {len(_SYNTHETIC)} + 1] as v from customer)""")
+def mask_synthetic_valid(spark, sf):
+    """A made value has the layout of the old one, passes its category's check and is another, for every kind of number."""
+    rows = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip("cvl", r)]) for r in _SYNTHETIC])
+    k = F.col("c_custkey")
+    d = table(spark, sf, "customer").withColumn("r", F.element_at(rows, (k % len(_SYNTHETIC) + 1).cast("int")))
+    d = d.select("c_custkey", "r", F.concat(F.lit("№ "), k.cast("string"), F.lit(": "), "r.v").alias("text"), (F.char_length(k.cast("string")) + 4).alias("at"))
+    d = d.withColumn("spans", F.array(F.struct(F.col("at").alias("start"), (F.col("at") + F.char_length("r.v")).alias("end"), F.col("r.c").alias("category"))))
+    d = masking.apply(d, "synthetic").withColumn("new", F.substring("masked", F.col("at") + 1, F.char_length("masked")))
+    c, new = F.col("r.c"), F.col("new")
+    valid = (
+        F.when(c == "card_number", C.luhn(new)).when(c == "inn", C.inn(new)).when(c == "snils", C.snils(new)).when(c == "phone", C.phone_e164(new))
+        .when(c == "passport", C.passport(new)).when(c.isin("birth_date", "date"), C.numeric_date(new)).otherwise(True)
+    )
+    return d.select("c_custkey", c.alias("category"), F.regexp_replace(new, "[0-9]", "9").alias("layout"), valid.alias("valid"), (new != F.col("r.v")).alias("other"))
 
 
-def _native_mask(df: DataFrame) -> DataFrame:
-    """E-mails of documents found natively and fully masked, put back natively where they were."""
-    return df.withColumn("spans", C.find_spans(F.col("text"), EMAIL, "email", 0.95))
+# --- offsets, restoring, counts
 
 
-@query("select doc_id, text as restored, 0 as misses from documents")
+@query(f"select doc_id, text as restored, 0 as misses, len(regexp_extract_all(text, '{ANY_EMAIL}'))::int as n_email from documents")
 def restore_roundtrip(spark, sf):
+    """Masked documents restored, and how many e-mails were masked in them meanwhile."""
     d = masking.apply(detect.detect(table(spark, sf, "documents")), "token").withColumn("b", masking.restore_udf("masked", "replacements"))
-    return d.select("doc_id", F.col("b.restored").alias("restored"), F.col("b.misses").alias("misses"))
+    n = F.size(F.filter("replacements", lambda r: (r["c"] == "email") & r["m"].startswith("[EMAIL_")))
+    return d.select("doc_id", F.col("b.restored").alias("restored"), F.col("b.misses").alias("misses"), n.alias("n_email"))
 
 
-@query("select doc_id, true as same from documents")
+@query("""with k as (select c_custkey, c_custkey::varchar as k from customer), e as (select c_custkey, k, unnest([1, 2, 3]) as i from k)
+select c_custkey, i, (case i when 1 then 2 when 2 then 14 else 26 end)::int as s, (case i when 1 then 11 when 2 then 23 else 35 end)::int as e,
+case i when 2 then '[EMAIL_2]' else '[EMAIL_1]' end as m, case i when 2 then 'y' else 'x' end || k || '@m.ru' as o from e""")
 def apply_offsets(spark, sf):
-    d = masking.apply(detect.detect(table(spark, sf, "documents")), "partial")
-    return d.select("doc_id", F.forall("replacements", lambda r: F.substring("masked", r["s"] + 1, r["e"] - r["s"]) == r["m"]).alias("same"))
+    """Where each mask stands in the masked text, and the original it stands for."""
+    k = F.col("c_custkey").cast("string")
+    d = table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("a x"), k, F.lit("@m.ru b y"), k, F.lit("@m.ru c x"), k, F.lit("@m.ru")).alias("text"))
+    d = masking.apply(detect.detect(d), "token").select("c_custkey", F.posexplode("replacements").alias("i", "r"))
+    return d.select("c_custkey", (F.col("i") + 1).alias("i"), "r.s", "r.e", "r.m", "r.o")
+
+
+@query("select doc_id, regexp_replace(text, '" + ANY_EMAIL + "', '', 'g') = text as untouched from documents where not regexp_matches(text, '[0-9]')")
+def documents_without_digits(spark, sf):
+    """A document without digits is masked only where it has an e-mail, as far as these texts go."""
+    d = masking.apply(detect.detect(table(spark, sf, "documents").where("not rlike(text, '[0-9]')")), "full")
+    return d.select("doc_id", (F.col("masked") == F.col("text")).alias("untouched"))
 
 
 @query(gold("n, restored, misses", [(0, "A is your number, thanks.", 1), (1, "Call A or A again.", 0), (2, "Call A please.", 1), (3, "P belongs to N.", 0)]))
@@ -387,9 +429,9 @@ def restore_edited(spark, sf):
     return df.select("n", F.col("b.restored").alias("restored"), F.col("b.misses").alias("misses"))
 
 
-@query(f"select doc_id, 'email' as category, len(regexp_extract_all(text, '{EMAIL}'))::bigint as n from documents where len(regexp_extract_all(text, '{EMAIL}')) > 0")
+@query(f"select doc_id, 'email' as category, len(regexp_extract_all(text, '{ANY_EMAIL}'))::bigint as n from documents where len(regexp_extract_all(text, '{ANY_EMAIL}')) > 0")
 def found_counts(spark, sf):
-    return detect.counts(_native_mask(table(spark, sf, "documents")), "doc_id")
+    return detect.counts(detect.detect(table(spark, sf, "documents")), "doc_id").where("category = 'email'")
 
 
 @query(f"with c as (select lang, source, len(regexp_extract_all(text, '{EMAIL}')) as n from documents) select lang, source, sum(n)::bigint as n from c group by rollup (lang, source)")
@@ -446,10 +488,13 @@ def hmac_id(spark, sf):
     return literal(spark, _IDS).select("n", C.hashed_id(ID_KEY, F.col("text")).alias("id_hash"))
 
 
-@query("select doc_id, true as same, (12 + strlen(text) + 16)::int as size from documents")
+@query("select doc_id, sha256(text) as opened, false as readable, (12 + strlen(text) + 16)::int as size from documents")
 def encrypt_roundtrip(spark, sf):
+    """The hash of what the key opens, whether another key opens it or the text shows in it, and its size."""
     d = table(spark, sf, "documents").withColumn("c", F.aes_encrypt(F.col("text").cast("binary"), _seal_key(), F.lit("GCM")))
-    return d.select("doc_id", (F.try_aes_decrypt("c", _seal_key(), F.lit("GCM")).cast("string") == F.col("text")).alias("same"), F.octet_length("c").alias("size"))
+    opened = F.try_aes_decrypt("c", _seal_key(), F.lit("GCM")).cast("string")
+    other = F.try_aes_decrypt("c", F.lit(bytes(32)), F.lit("GCM")).isNotNull()
+    return d.select("doc_id", F.sha2(opened, 256).alias("opened"), (other | F.contains(F.col("c"), F.left("text", F.lit(20)).cast("binary"))).alias("readable"), F.octet_length("c").alias("size"))
 
 
 @query("with r as (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) as n from orders) select o_custkey as id, o_orderkey as seq from r where n = 1 and o_custkey % 7 <> 0")
@@ -553,14 +598,66 @@ def accuracy_prf(spark, sf):
     return s.select("category", "tp", "fp", "fn", *[F.round(x, 9).alias(x) for x in ("precision", "recall", "f1")])
 
 
-@query("select n_nationkey, true as same from nation")
+@query("""with n as (select n_nationkey, 'Клиент Иванов Иван Иванович, тел +7 (916) 123-45-' || lpad(n_nationkey::varchar, 2, '0') || '. Обычный текст без данных. ' as unit, unnest(range(420)) as i from nation)
+select n_nationkey, (i * length(unit) + 7)::int as "start", 'full_name' as category, 'Иванов Иван Иванович' as value from n
+union all select n_nationkey, (i * length(unit) + 33)::int, 'phone', substr(unit, 34, 18) from n""")
 def chunked_equals_whole(spark, sf):
+    """Every span of texts that are long enough to be read in parts."""
     unit = F.concat(F.lit("Клиент Иванов Иван Иванович, тел +7 (916) 123-45-"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0"), F.lit(". Обычный текст без данных. "))
-    d = table(spark, sf, "nation").withColumn("text", F.repeat(unit, 420))
-    d = detect.detect(d.select("n_nationkey", "text")).withColumn("one", F.char_length("text") / 420)
-    per = F.size("spans") == 840
-    at = F.forall("spans", lambda s: (s["start"] % F.col("one")).isin(7.0, 33.0))
-    return d.select("n_nationkey", (per & at).alias("same"))
+    d = detect.detect(table(spark, sf, "nation").select("n_nationkey", F.repeat(unit, 420).alias("text"))).select("n_nationkey", "text", F.explode("spans").alias("s"))
+    return d.select("n_nationkey", F.col("s.start").alias("start"), F.col("s.category").alias("category"), F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("value"))
+
+
+# --- the record store and the mask and unmask flows, over records made from customers
+
+
+def _records(spark, sf, owner: str = "one"):
+    """A store with a record for each customer but every third; the masked text names the customer."""
+    k = F.col("c_custkey").cast("string")
+    c = table(spark, sf, "customer").where("c_custkey % 3 <> 0")
+    r = F.array(F.struct(F.lit("email").alias("c"), F.concat(F.lit("u"), k, F.lit("@m.ru")).alias("o"), F.lit("[EMAIL_1]").alias("m"), F.lit(5).alias("s"), F.lit(14).alias("e")))
+    record = F.struct(r.alias("replacements"), F.lit("token").alias("strategy"), _now().alias("created_at"), F.lit("mail [EMAIL_1]").alias("masked"),
+                      F.sha2(F.concat(F.lit("mail u"), k, F.lit("@m.ru")), 256).alias("hash"), F.lit(owner).alias("system"))
+    return records.rows(c.withColumn("id", k), "id", record, _seal_key(), ID_KEY, 60, _now())
+
+
+@query("""select c_custkey, case c_custkey % 3 when 0 then 'stored' when 1 then 'idempotent' else 'looks_like_unmask' end as outcome,
+case c_custkey % 3 when 0 then 'mail [EMAIL_1]' when 1 then 'mail [EMAIL_1]' end as result, case c_custkey % 3 when 2 then null else 1 end as n_email from customer""")
+def mask_flow(spark, sf):
+    """Masking by id over a store: new ids, repeated texts, and texts that are the stored mask."""
+    k = F.col("c_custkey").cast("string")
+    text = F.when(F.col("c_custkey") % 3 == 2, F.lit("mail [EMAIL_1]")).otherwise(F.concat(F.lit("mail u"), k, F.lit("@m.ru")))
+    none = F.array().cast("array<string>"), F.array().cast("array<struct<category:string,requires_any:array<string>>>")
+    ask = table(spark, sf, "customer").select(text.alias("text"), k.alias("id"), F.lit("one").alias("system"), none[0].alias("categories"), none[1].alias("combo_rules"), F.lit("token").alias("strategy"))
+    answers, _ = process.mask(ask, _records(spark, sf), _seal_key(), ID_KEY, _now())
+    return answers.select(F.col("id").cast("long").alias("c_custkey"), "outcome", "result", F.try_element_at("found", F.lit("email")).alias("n_email"))
+
+
+@query("""select c_custkey, case when c_custkey % 3 = 0 or c_custkey % 5 = 0 then 404 else 200 end as status,
+case when c_custkey % 3 = 0 or c_custkey % 5 = 0 then null else 'reply to u' || c_custkey || '@m.ru today' end as restored,
+case when c_custkey % 3 = 0 or c_custkey % 5 = 0 then null else 0 end as misses from customer""")
+def unmask_flow(spark, sf):
+    """Restoring by id: own records, ids without one, and another system's."""
+    c = F.col("c_custkey")
+    ask = table(spark, sf, "customer").select(c.cast("string").alias("id"), F.lit("reply to [EMAIL_1] today").alias("text"), F.when(c % 5 == 0, F.lit("two")).otherwise(F.lit("one")).alias("system"))
+    got = process.unmask(ask, _records(spark, sf), _seal_key(), ID_KEY, _now())
+    return got.select(F.col("id").cast("long").alias("c_custkey"), "status", "restored", "misses")
+
+
+@query("""select o_custkey as id, max(o_orderkey) as seq, count(*) over () as n from orders where o_custkey % 4 <> 0 group by o_custkey""")
+def save_last_wins_and_delete(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("id_hash"), F.col("o_orderkey").alias("seq"))
+    store = records.save(o.groupBy("id_hash").agg(F.min("seq").alias("seq")), o, "seq")
+    left = records.delete(store, o.where("id_hash % 4 = 0"))
+    return left.select(F.col("id_hash").cast("long").alias("id"), "seq", F.lit(left.count()).alias("n"))
+
+
+@query("select c_custkey, 'mail [EMAIL_1]' as masked, 'u' || c_custkey || '@m.ru' as original, 1 as n_email from customer where c_custkey % 3 <> 0")
+def load_records(spark, sf):
+    k = F.col("c_custkey")
+    ids = table(spark, sf, "customer").select(k, C.hashed_id(ID_KEY, k.cast("string")).alias("id_hash"))
+    got = records.load(_records(spark, sf), _seal_key(), _now()).join(ids, "id_hash")
+    return got.select("c_custkey", "record.masked", F.col("record.replacements")[0]["o"].alias("original"), process.counts_from_record(F.col("record"))["email"].alias("n_email"))
 
 
 @query()
