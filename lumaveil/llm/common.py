@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ship
+from ..sources.shared import dropped, shared_folder, written  # noqa: F401  for the operators
 
 #: Rows in an Arrow batch, so that a batch of long texts stays small in a Python worker.
 BATCH_ROWS = 256
@@ -24,32 +22,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a temporary one only where none is named."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    held = sc._jsc.sc().getCheckpointDir()
-    if held.isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lumaveil-"))
-        held = sc._jsc.sc().getCheckpointDir()
-    return held.get()
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors.
-
-    The folder goes when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    to = f"{shared_folder(spark).rstrip('/')}/lumaveil-{uuid.uuid4().hex}"
-    df.write.parquet(to)
-    path = spark._jvm.org.apache.hadoop.fs.Path(to)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(to)
-
-
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the undirected edges (a, b); component is its smallest node.
 
@@ -71,7 +43,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(small.select("u", F.col("m").alias("v")))
-        e = written(small.where("u <> v").distinct())
+        last, e = e, written(small.where("u <> v").distinct())
+        dropped(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

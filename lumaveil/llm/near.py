@@ -8,8 +8,9 @@ Equal sets are one class and compared once. Keys under which the same classes me
 BLOCK classes is dealt to blocks, each pair of which is one group, so that no task holds a large bucket.
 
 Defined cases: a null text is the empty text; texts without words are copies of one another; fewer words than a shingle
-give one shingle of them all; rows with a null doc_id stay and link nothing; of repeated rows of a document kept one
-stays; other columns are kept.
+give one shingle of them all; rows with a null doc_id stay and link nothing; rows that share a doc_id but not a text are
+compared like others; of repeated rows of a document kept the one whose JSON is least stays; very long texts are whole
+sets; an empty table gives no rows; other columns are kept.
 """
 
 from __future__ import annotations
@@ -112,20 +113,20 @@ def keep_first(docs: DataFrame, width: int = 5, at_least: float = AT_LEAST) -> D
     def signed(frames):
         for f in frames:
             s = [shingles(t, width) for t in f["text"]]
-            yield pd.DataFrame({"doc": f["doc"], "name": [name_of(x) for x in s], "keys": [keys(x) for x in s]})
+            yield pd.DataFrame({"doc": f["doc"], "own": f["own"], "name": [name_of(x) for x in s], "keys": [keys(x) for x in s]})
 
-    rows = written(texts.mapInPandas(signed, "doc long, name long, keys array<long>"))
+    rows = written(texts.withColumn("own", F.xxhash64("text")).mapInPandas(signed, "doc long, own long, name long, keys array<long>"))
     classes = rows.groupBy("name").agg(F.min("doc").alias("doc"), F.first("keys").alias("keys"))
     parts = components(near_links(texts, classes, width, at_least))
-    named = rows.groupBy("name").agg(F.min("doc").alias("least")).join(parts.withColumnRenamed("node", "name"), "name", "left")
-    named = named.withColumn("component", F.coalesce("component", "name"))
-    first = named.groupBy("component").agg(F.min("least").alias("doc"))
-    kept = written(first.groupBy("doc").agg(F.count("*").alias("n")))
-    counts = rows.select("doc").join(kept.select("doc"), "doc", "left_semi").groupBy("doc").agg(F.count("*").alias("n"))
-    several = written(counts.where("n > 1").select("doc"))
-    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc"))
-    once = whole.join(kept, "doc", "left_semi").join(several, "doc", "left_anti").select("row")
+    named = rows.groupBy("name").agg(F.min(F.struct("doc", "own")).alias("least")).join(parts.withColumnRenamed("node", "name"), "name", "left")
+    first = named.groupBy(F.coalesce("component", "name")).agg(F.min("least").alias("least"))
+    kept = written(first.select("least.doc", "least.own"))  # a document's id and its text, as an id may have several
+    counts = rows.join(kept, ["doc", "own"], "left_semi").groupBy("doc", "own").agg(F.count("*").alias("n"))
+    several = written(counts.where("n > 1").select("doc", "own"))
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text_of()).alias("own"))
+    once = whole.join(kept, ["doc", "own"], "left_semi").join(several, ["doc", "own"], "left_anti").select("row")
     once = once.unionAll(whole.where("doc is null").select("row"))
     if not several.isEmpty():
-        once = once.unionAll(whole.join(several, "doc", "left_semi").dropDuplicates(["doc"]).select("row"))
+        same = whole.join(several, ["doc", "own"], "left_semi").groupBy("doc", "own").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        once = once.unionAll(same.select("row"))
     return once.select("row.*")
