@@ -50,7 +50,13 @@ class WordBpe:
 
     #: Pre-tokens of the vocabulary (a fixed value of the tokenizer file).
     PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-    ODD = re.compile("[\x00\x1c-\x1f]|<\\|")
+    #: Texts with other characters than these, which are tested one by one and in rows against the tokenizer, go to it whole:
+    #: what is a letter, and how characters are composed, depends on the Unicode version of each library.
+    TESTED = (
+        (0x01, 0x1B), (0x20, 0x7F), (0xA1, 0x24F), (0x370, 0x52F), (0x2010, 0x2027), (0x2030, 0x205E), (0x20A0, 0x20BF), (0x3041, 0x3096), (0x30A1, 0x30FA),
+        (0x4E00, 0x9FA5), (0xAC00, 0xD7A3),
+    )
+    ODD = re.compile("[^" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in TESTED) + "]|<\\|")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -95,3 +95,26 @@ def test_repeats_nulls_and_empty(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], "doc_id long, text string")
     assert sum(r.length for r in P.op1(df).collect()) == 8
     assert P.op1(df.where("false")).collect() == []
+
+
+def test_ids_of_all_of_unicode():
+    """Texts drawn from all planes, and each tested character in several places, get the tokenizer's own ids."""
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from lumaveil.llm import packing as P
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, plain = P.WordBpe(path), Tokenizer.from_file(path)
+    rng = random.Random(7)
+    any_char = lambda: chr(rng.choice([rng.randrange(1, 0x250), rng.randrange(0x250, 0xD800), rng.randrange(0xE000, 0x11000), rng.randrange(0x10000, 0x110000)]))
+    texts = ["".join(any_char() if rng.random() < 0.5 else rng.choice("aB1 '.,s\n") for _ in range(rng.randint(1, 20))) for _ in range(4000)]
+    texts += ["'\u0558", "a\u209f", "x\u1ac5y", "e\u0301", "\u1100\u1161", "\ufb01", "\u03a3\u03a3"]
+    for a, b in own.TESTED:
+        step = max(1, (b - a) // 400)
+        texts += [f.format(chr(c)) for c in range(a, b + 1, step) for f in ("{0}", "a{0}", "'{0}1", "{0}{0} b")]
+    got = own.encode(texts)
+    want = [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, x, y in zip(texts, got, want) if x != y] == []
