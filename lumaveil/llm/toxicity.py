@@ -205,6 +205,11 @@ def margin_udf(beta: np.ndarray):
     return margin
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def pieces_udf(texts: pd.Series) -> pd.Series:
+    return pd.Series([list(pieces(t)) for t in texts])
+
+
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
@@ -263,8 +268,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray] | N
     order = F.xxhash64("doc_id"), F.col("doc_id")
     sample = marks.where("toxic = 1").orderBy(*order).limit(FIT_TOXIC).unionAll(marks.where("toxic = 0").orderBy(*order).limit(FIT_CLEAN))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(F.broadcast(sample), "doc_id")
-    texts = written(texts.dropDuplicates(["text"]))
-    split = F.udf(pieces, "array<string>")
+    # equal texts are one, toxic if any of them is
+    texts = written(texts.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")))
+    split = pieces_udf
     words = written(texts.select("doc_id", "toxic", F.explode(split("text")).alias("word")).groupBy("word").agg(
         F.count_if(F.col("toxic") == 1).alias("n_toxic"), F.count_if(F.col("toxic") == 0).alias("n_clean")))
     kinds = {r.toxic: r.n for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}

@@ -87,3 +87,16 @@ def test_without_labels(tables):
     docs, labels = tables
     assert {r.score for r in X.op3(docs, labels.where("toxic = 0")).collect()} == {0.0}
     assert X.op3(docs.limit(0), labels).collect() == []
+
+
+def test_equal_texts_with_both_labels_and_odd_texts(spark):
+    """Reruns agree where equal texts are labelled differently; null, empty and very long texts get a score."""
+    rows = [(i, ("you are a damnfool really " if i % 2 else "what a fine morning it is ") + f"w{i % 7} w{i % 11}", "x") for i in range(300)]
+    rows += [(1000, None, None), (1001, "", "x"), (1002, "fine morning " * 20000 + "damnfool", "x"), (None, "a", "x")]
+    labels = [(i, i % 2) for i in range(300)] + [(0, 1), (1, 0), (None, 1), (5, None)]
+    got = []
+    for order in (1, -1):
+        docs = spark.createDataFrame(rows[::order], "doc_id long, text string, toxicity string").repartition(3)
+        marks = spark.createDataFrame(labels[::order], "doc_id long, toxic int")
+        got.append(sorted(((r.doc_id, r.score, r.predicted) for r in X.op3(docs, marks).collect()), key=str))
+    assert got[0] == got[1] and len(got[0]) == len(rows) and all(0 <= s <= 1 for _, s, _ in got[0])
