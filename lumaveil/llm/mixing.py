@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -91,32 +91,37 @@ def multipliers(hist: DataFrame, sources: DataFrame, rows: int, most: float = MO
     """sources (_name, _null, source_size, target, least: its smallest size) with l, from hist (_name, _null, size, count)."""
     ratio, least = F.try_divide("target", "source_size"), F.col("least")
     # at `high` all documents are at the bound, at `low` none is above target / source_size
-    state = sources.withColumns({"l": F.lit(0.0), "low": F.when(ratio < 1, F.log(ratio) / least).otherwise(0.0), "high": F.when(ratio > 1, F.lit(math.log(most)) / least).otherwise(0.0)})
-    state = written(state.withColumn("done", (F.col("source_size") == 0) | (F.col("target") == F.col("source_size"))))
-    hist = hist.where("size > 0")
+    top = F.lit(math.log(most) * (1 + 1e-12)) / least
+    full = F.col("target") >= F.col("source_size") * float(most)
+    state = sources.withColumns({"low": F.when(ratio < 1, F.log(ratio) / least).otherwise(0.0), "high": F.when(ratio > 1, top).otherwise(0.0)})
+    state = state.withColumn("l", F.when((F.col("source_size") > 0) & full, top).otherwise(0.0))
+    state = written(state.withColumn("done", (F.col("source_size") == 0) | full | (F.col("target") == F.col("source_size"))))
     for at in range(0, steps, STEPS_IN_JOB):
         if state.where("not done").isEmpty():
             break
+        last = state
         for _ in range(STEPS_IN_JOB):
             state = newton_step(hist, state, rows, most)
         state = written(state)
+        dropped(last)
     return state.drop("low", "high", "done")
 
 
 def newton_step(hist: DataFrame, state: DataFrame, rows: int, most: float) -> DataFrame:
     n, l, low, high = F.col("size"), F.col("l"), F.col("low"), F.col("high")
     w = weight_of(l, n, most)
-    sums = hist.join(_near(state.where("not done").select(*BY, "l"), rows), BY).groupBy(*BY).agg(
-        F.sum(n * w * F.col("count")).alias("_f"), F.sum(F.when(w < most, n * n * w * F.col("count")).otherwise(0.0)).alias("_slope")
+    own = [c for c in state.columns if c not in BY]
+    s = hist.join(_near(state, rows), BY).groupBy(*BY).agg(
+        (F.sum(n * w * F.col("count")) - F.first("target")).alias("_off"), F.sum(F.when(w < most, n * n * w * F.col("count")).otherwise(0.0)).alias("_slope"),
+        *[F.first(c).alias(c) for c in own],
     )
-    s = state.join(_near(sums, rows), BY, "left").withColumn("_off", F.col("_f") - F.col("target"))
     s = s.withColumns({"low": F.when(F.col("_off") < 0, l).otherwise(low), "high": F.when(F.col("_off") > 0, l).otherwise(high)})
     newton = l - F.try_divide("_off", "_slope")
     # out of the bracket: its middle, by magnitude
     middle = F.when(low > 0, F.sqrt(low * high)).when(high < 0, -F.sqrt(low * high)).otherwise(F.when(low == 0, high).otherwise(low) / 16)
-    settled = F.col("_off").isNull() | (F.abs("_off") <= F.col("target") * 1e-9) | (high - low <= F.abs(low + high) * 1e-15)
+    settled = F.col("done") | (F.abs("_off") <= F.col("target") * 1e-9) | (high - low <= F.abs(low + high) * 1e-15)
     moved = F.when((F.col("_slope") > 0) & (newton > low) & (newton < high), newton).otherwise(middle)
-    return s.select(*[c for c in state.columns if c not in ("l", "done")], F.when(settled, l).otherwise(moved).alias("l"), (F.col("done") | settled).alias("done"))
+    return s.select(*BY, *[c for c in own if c not in ("l", "done")], F.when(settled, l).otherwise(moved).alias("l"), settled.alias("done"))
 
 
 def taken(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
