@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by learned partitions.
 
-On a bounded sample of SAMPLE vectors the exact neighbour graph is made and cut into balanced parts: halving along
+On a sample of SAMPLE to MOST_SAMPLE vectors, as the rows grow, the exact neighbour graph is made and cut into balanced parts: halving along
 principal directions, then moves of vertices to the part of most of their neighbours, as far as the balance allows. A
 small network with one hidden layer learns to tell, from a vector, in which parts its neighbours are. It puts every row
 into its most probable part (the index), and sends a query to its several most probable parts, whose vectors are all
@@ -11,8 +11,9 @@ The index holds every row. Parts are searched in blocks of about BLOCK candidate
 (near copies lie together) is many tasks; each block gives the best k of each query, which are merged.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components take no part, nor do rows without a
-vec_id; rows that repeat a query's vec_id are not its candidates, and a repeated query is one query; candidate rows that
-repeat a vec_id count once; shorter vectors count as padded with zeros; other columns are ignored; an empty table
+vec_id; rows that repeat a query's vec_id are not its candidates, and a repeated query is one query, of the least of its
+vectors; candidate rows that repeat vec_id and vector count once, and others that repeat a vec_id are candidates of their
+own; very wide vectors make larger blocks; shorter vectors count as padded with zeros; other columns are ignored; an empty table
 gives no rows.
 """
 
@@ -26,9 +27,10 @@ from pyspark.sql import functions as F
 from .common import written
 from .vectors import blocks, matrix, norms, unblock, valid
 
-SAMPLE = 6000
-#: Sampled vectors for each part, parts at most, neighbours in the graph.
-PER_PART, PARTS, GRAPH = 250, 24, 10
+#: Sampled vectors, at least and, a hundredth of the rows, at most.
+SAMPLE, MOST_SAMPLE, ROWS_PER_SAMPLED = 6000, 24_000, 100
+#: Sampled vectors for each part, neighbours in the graph.
+PER_PART, GRAPH = 250, 10
 TARGET, LEAST, BLOCK = 0.97, 64, 4000
 
 
@@ -113,7 +115,7 @@ class Router:
 
 def fit(x: np.ndarray, k: int) -> tuple[Router, int]:
     """The router and how many parts a query looks into, from a sample of unit vectors."""
-    parts = int(max(1, min(PARTS, len(x) // PER_PART)))
+    parts = int(max(1, len(x) // PER_PART))
     graph = neighbour_graph(x, min(GRAPH, max(1, len(x) - 1))) if len(x) > 1 else np.zeros((len(x), 1), np.int64)
     part = balanced_parts(x, graph, parts)
     wanted = np.zeros((len(x), parts))
@@ -148,8 +150,9 @@ def search(table: DataFrame, is_query: Column, k: int = 5, sample: int = SAMPLE,
     """query_id, rank (from 1), vec_id, score of the k nearest found of each query."""
     spark = table.sparkSession
     schema = "query_id long, vec_id long, score double"
-    rows = written(valid(table).dropDuplicates(["vec_id"]))
-    width = rows.agg(F.max(F.size("v"))).first()[0]
+    rows = written(valid(table).dropDuplicates(["vec_id", "v"]))
+    size = rows.agg(F.max(F.size("v")).alias("width"), F.count("*").alias("rows")).first()
+    width, sample = size.width, min(max(sample, MOST_SAMPLE), max(sample, size.rows // ROWS_PER_SAMPLED))
     if not width:
         return spark.createDataFrame([], schema).select("query_id", F.lit(0).alias("rank"), "vec_id", "score")
     some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
@@ -184,7 +187,8 @@ def search(table: DataFrame, is_query: Column, k: int = 5, sample: int = SAMPLE,
                         to.append(p)
             yield f.iloc[at].assign(part=np.array(to, "int32"))
 
-    asked = written(rows.where(is_query).mapInPandas(route, "vec_id long, v array<double>, part int"))
+    questions = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = written(questions.mapInPandas(route, "vec_id long, v array<double>, part int"))
     asks = {r.part: r["count"] for r in asked.groupBy("part").count().collect()}
     if not asks:
         return spark.createDataFrame([], schema).select("query_id", F.lit(0).alias("rank"), "vec_id", "score")

@@ -59,3 +59,12 @@ def test_parts_are_balanced():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     part = N.balanced_parts(x, N.neighbour_graph(x, 10), 6)
     assert np.bincount(part).max() <= 1.1 * 1200 / 6 + 1
+
+
+def test_repeated_ids_with_other_vectors(spark):
+    rows = [(1, [1.0, 0.1]), (1, [0.0, 1.0]), (50, [1.0, 0.0]), (50, [0.5, 0.5]), (2, [-1.0, 0.0]), (2, [-1.0, 0.0])]
+    got = []
+    for order, n in ((1, 1), (-1, 4)):
+        df = spark.createDataFrame(rows[::order], "vec_id long, embedding array<double>").repartition(n)
+        got.append([tuple(r) for r in N.op2(df).orderBy("rank").collect()])
+    assert got[0] == got[1] and [(r[0], r[2]) for r in got[0]] == [(50, 1), (50, 1), (50, 2)]
