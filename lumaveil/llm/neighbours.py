@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import rows_in_batch, written
 from .vectors import blocks, matrix, norms, unblock, valid
 
 #: Sampled vectors, at least and, a hundredth of the rows, at most.
@@ -208,8 +208,8 @@ def search(table: DataFrame, is_query: Column, k: int = 5, sample: int = SAMPLE,
                 query_ids, _, q = unblock(r.ids2, b"", r.x2, width)
                 yield best(query_ids, q, ids, x, k)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
-    found = met.select("ids1", "x1", "ids2", "x2").mapInPandas(run, schema)
+    with rows_in_batch(spark, 8):
+        found = written(met.select("ids1", "x1", "ids2", "x2").mapInPandas(run, schema))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -41,12 +41,13 @@ def vectors(seed=2):
     return [(1000 - i, [float(np.float32(x)) for x in v]) for i, v in enumerate(out)]
 
 
-@pytest.mark.parametrize("block", [40, 3000])
+@pytest.mark.parametrize("block", [40 * 12, 3000 * 12])
 def test_against_brute_force(spark, monkeypatch, block):
     rows = vectors() + [(2000, None), (2001, [0.0] * 12), (2002, [float("nan")] + [1.0] * 11), (2003, [None] + [1.0] * 11), (2004, [float("inf")] * 12), (None, [1.0] * 12), (2005, [])]
     rows += [rows[3]]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, w int")
-    monkeypatch.setattr(C, "LEAF", 64)
+    monkeypatch.setattr(C, "CHUNK", 64)
+    monkeypatch.setattr(C, "PAIRS", 100)
     got = C.near_duplicates(df, block=block).collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
 
@@ -56,16 +57,21 @@ def test_tree_covers():
     t = C.Tree(x)
     assert sorted(t.order) == list(range(len(x)))
 
-    def walk(nodes, level):
+    def walk(nodes, above):
         for k in nodes:
-            first, last, c, radius, children = t.nodes[k]
-            d = np.sqrt(((x[t.order[first:last]] - x[c]) ** 2).sum(1))
-            assert d.max() <= radius + 1e-12 <= C.RADII[level] + 1e-6
-            if children:
-                assert sorted(i for m in children for i in t.order[t.nodes[m][0] : t.nodes[m][1]]) == sorted(t.order[first:last])
-                walk(children, level + 1)
+            d = np.sqrt(((x[t.points(k)] - x[t.centre[k]]) ** 2).sum(1))
+            assert t.centre[k] in t.points(k) and d.max() <= t.radius[k] + 1e-12 <= above + 1e-6
+            kids = t.children[t.below[k] : t.below[k] + t.many[k]]
+            if len(kids):
+                assert sorted(i for m in kids for i in t.points(m)) == sorted(t.points(k))
+                level = next(r for r in C.RADII if max(t.radius[kids]) <= r / 1 + 1e-9 or r == C.RADII[-1])
+                walk(kids, max(level, max(t.radius[kids])))
 
-    walk(t.roots, 0)
+    walk(t.roots, C.RADII[0])
+    own = C.net(x, 0.5)
+    centres = np.unique(own)
+    apart = np.sqrt(((x[centres][:, None] - x[centres][None]) ** 2).sum(2))[np.triu_indices(len(centres), 1)]
+    assert (own[centres] == centres).all() and apart.min() > 0.5
 
 
 def test_tight_group_takes_few_steps():
@@ -80,3 +86,18 @@ def test_tight_group_takes_few_steps():
 
 def test_empty_table(spark):
     assert C.op6(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def test_a_wide_group_in_one_block():
+    """All pairs of a group whose members are further apart than the nets below its top, in bounded memory."""
+    rng = np.random.RandomState(3)
+    base = rng.normal(size=64)
+    x = base / np.linalg.norm(base) + 0.1 / 8 * rng.normal(size=(1500, 64))
+    t = C.Tree(C.unit(x))
+    for threshold in (0.95, 0.985, 0.99):
+        found = C.Links(x, np.ones(len(x), np.int64), threshold)
+        found.traverse(t, t, 0, 0)
+        n = np.sqrt((x * x).sum(1))
+        near = (x @ x.T) / n[:, None] / n[None] >= threshold
+        np.fill_diagonal(near, False)
+        assert (found.count == near.sum(1)).all()
