@@ -51,3 +51,32 @@ FAMOUS_PEOPLE = tuple(
     "мишустин, сергей лавров, александр суворов, михаил кутузов, георгий жуков, илья репин, казимир малевич, василий кандинский, валентина "
     "терешкова, алексей леонов, лев ландау, андрей сахаров, игорь курчатов, николай пирогов, владимир высоцкий, виктор цой, алла пугачёва".split(", ")
 )
+
+# Countries: fixed values. The first are listed in the forms in use, the others declined by their endings.
+COUNTRY_FORMS = tuple(
+    "россия, россии, россию, россией, российская, рф, российская федерация, российской федерации, российской федерацией, казахстан, казахстана, казахстане, "
+    "казахстаном, беларусь, беларуси, беларусью, белоруссия, белоруссии, узбекистан, узбекистана, узбекистане, таджикистан, таджикистана, таджикистане, киргизия, "
+    "киргизии, кыргызстан, кыргызстана, кыргызская республика, кыргызской республики, кыргызской республикой, армения, армении, армению, азербайджан, азербайджана, "
+    "азербайджане, азербайджанская республика, азербайджанской республики, азербайджанской республикой, грузия, грузии, молдова, молдовы, молдове, украина, украины, "
+    "украине, туркменистан, туркменистана, вьетнам, вьетнама, вьетнаме, китай, китая, китае, кнр, китайская народная республика, китайской народной республики, корея, "
+    "кореи, республика корея, республики корея, турция, турции, индия, индии, сша, германия, германии, фрг, великобритания, великобритании, великобританию, израиль, "
+    "израиля, румыния, румынии, франция, франции, францию, францией, французская республика, французской республики, французской республикой, испания, испании, "
+    "испанию, испанией, италия, италии, италию, италией, социалистическая республика вьетнам, социалистической республики вьетнам, azerbaijani, russian, kazakh, "
+    "uzbek, tajik, armenian, georgian, moldovan, ukrainian, turkmen, vietnamese, chinese, korean, turkish, indian, german, israeli, belarusian, kyrgyz".split(", ")
+)
+OTHER_STATES = tuple(
+    "алжир, ангола, бенин, ботсвана, буркина-фасо, бурунди, габон, гамбия, гана, гвинея, гвинея-бисау, джибути, египет, замбия, зимбабве, кабо-верде, камерун, кения, "
+    "коморы, конго, демократическая республика конго, кот-д’ивуар, лесото, либерия, ливия, маврикий, мавритания, мадагаскар, малави, мали, марокко, мозамбик, намибия, "
+    "нигер, нигерия, руанда, сан-томе и принсипи, эсватини, свазиленд, сейшелы, сенегал, сомали, судан, южный судан, сьерра-леоне, танзания, того, тунис, уганда, "
+    "центральноафриканская республика, чад, экваториальная гвинея, эритрея, эфиопия, юар, южно-африканская республика, афганистан, бангладеш, бахрейн, бруней, бутан, "
+    "восточный тимор, индонезия, иордания, ирак, иран, йемен, камбоджа, катар, кипр, кндр, кувейт, лаос, ливан, малайзия, мальдивы, монголия, мьянма, непал, оаэ, оман, "
+    "пакистан, саудовская аравия, сингапур, сирия, таиланд, филиппины, шри-ланка, япония, австрия, албания, андорра, бельгия, болгария, босния и герцеговина, ватикан, "
+    "венгрия, греция, дания, ирландия, исландия, латвия, литва, лихтенштейн, люксембург, мальта, монако, нидерланды, северная македония, норвегия, польша, португалия, "
+    "сан-марино, сербия, словакия, словения, финляндия, хорватия, черногория, чехия, швейцария, швеция, эстония, антигуа и барбуда, аргентина, багамы, барбадос, белиз, "
+    "боливия, бразилия, венесуэла, гаити, гайана, гватемала, гондурас, гренада, доминика, доминиканская республика, канада, колумбия, коста-рика, куба, мексика, "
+    "никарагуа, панама, парагвай, перу, сальвадор, сент-винсент и гренадины, сент-китс и невис, сент-люсия, суринам, тринидад и тобаго, уругвай, чили, эквадор, ямайка, "
+    "австралия, вануату, кирибати, маршалловы острова, микронезия, науру, новая зеландия, палау, папуа-новая гвинея, самоа, соломоновы острова, тонга, тувалу, "
+    "фиджи".split(", ")
+)
+#: States whose names are common words too.
+COMMON_WORD_STATES = frozenset("того мали чад чада гана гане гану куба кубы кубе нигер оман омана перу чили фиджи самоа тонга".split())

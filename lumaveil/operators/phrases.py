@@ -1,4 +1,4 @@
-"""Detection by word lists and small grammars: dates in words, addresses, places, citizenship, issuers, holders."""
+"""Detection by word lists and small grammars: dates in words, addresses, card holders."""
 
 from __future__ import annotations
 
@@ -18,18 +18,8 @@ CITIES = frozenset(
     "ижевск барнаул иркутск ульяновск хабаровск ярославль владивосток махачкала томск оренбург кемерово рязань астрахань пенза липецк киров тула "
     "калининград курск сочи ставрополь тверь магнитогорск иваново брянск белгород владимир калуга смоленск вологда орел мурманск петрозаводск".split()
 ) | frozenset(TOWNS)
-COUNTRIES = (
-    "российской федерации", "российская федерация", "россия", "россии", "рф", "республики беларусь", "республика беларусь", "беларусь", "беларуси",
-    "казахстан", "казахстана", "украина", "украины", "узбекистан", "узбекистана", "таджикистан", "таджикистана", "армения", "армении", "азербайджан",
-    "азербайджана", "грузия", "грузии", "молдова", "молдовы", "киргизия", "киргизии", "германия", "германии", "сша", "китай", "китая", "израиль", "израиля",
-    "russian federation", "russia", "belarus", "kazakhstan", "usa",
-)
 HOLDER_WORDS = ("держатель", "держатель карты", "владелец карты", "cardholder", "card holder", "name on card", "имя на карте")
 HOLDER_STOPS = frozenset("visa mastercard mir maestro card bank gold platinum classic debit credit world electron unionpay valid thru month year cvv cvc pin sms".split())
-ISSUE_AT = ("кем выдан", "паспорт выдан", "выдан", "выдано", "выдала", "орган, выдавший")
-ISSUE_START = ("отделом", "отделением", "отдел", "отделение", "уфмс", "оуфмс", "фмс", "гу мвд", "умвд", "увд", "овд", "ровд", "мвд", "тп", "управлением")
-SETTLEMENTS = ("г.", "гор.", "город", "городе", "с.", "село", "селе", "дер.", "деревня", "деревне", "пос.", "поселок", "посёлок", "ст.", "станица", "р.п.", "д.")
-BIRTH_AT = ("место рождения", "родился в", "родилась в", "уроженец", "уроженка", "род. в", "place of birth")
 ORGANISATION = ("банк", "офис", "отделени", "филиал", "магазин", "организац", "юридический адрес", "ооо", "зао", "пао")
 PERSONAL = ("прожива", "зарегистрирован", "прописан", "мой адрес", "адрес доставки", "домашний")
 HOME = ("адрес", "адресу", "прописка", "регистрация", "проживает", "проживающий", "проживания", "живет", "живу", "прописан", "зарегистрирован", "address")
@@ -136,60 +126,3 @@ def addresses(t: Text) -> list[Span]:
                 out.append((start, end, "address", "address", 0.9))
         at = until
     return out
-
-
-BIRTH_START = regex.compile(r"(?<!\p{L})(?:" + "|".join(regex.escape(w) for w in sorted(BIRTH_AT, key=len, reverse=True)) + r")[ :—-]{0,3}")
-BIRTH_VALUE = regex.compile(rf"(?:(?:{'|'.join(map(regex.escape, SETTLEMENTS))}) ?)?{_PLACE}(?:,? (?:{_PLACE} (?:области|область|обл\.|края|край|района|район)))*")
-
-
-def birth_places(t: Text) -> list[Span]:
-    out = []
-    for m in BIRTH_START.finditer(t.low):
-        own = BIRTH_VALUE.match(t.raw[m.end() : m.end() + 120])
-        if own:
-            end = m.end() + own.end()
-            out.append((m.end(), end, "birth_place", "birthplace", 0.92))
-    return out
-
-
-_COUNTRY = regex.compile("(?:" + "|".join(regex.escape(c) for c in sorted(COUNTRIES, key=len, reverse=True)) + r")(?!\p{L})")
-
-
-CITIZEN = regex.compile(r"(?<!\p{L})(?:гражданство|гражданства|гражданин|гражданина|гражданка|гражданки|citizenship)(?!\p{L})\s*[:—-]?\s*")
-
-
-def citizenships(t: Text) -> list[Span]:
-    out = []
-    if "гражда" not in t.low and "citizen" not in t.low:
-        return out
-    for m in CITIZEN.finditer(t.low):
-        if own := _COUNTRY.match(t.low, m.end()):
-            out.append((*own.span(), "citizenship", "citizenship", 0.9))
-    for m in _COUNTRY.finditer(t.low):
-        if regex.match(r" (?:citizenship|citizen)(?!\p{L})", t.low[m.end() : m.end() + 14]):
-            out.append((*m.span(), "citizenship", "citizenship", 0.9))
-    for m in regex.finditer(r"гражданств[а-я]*[^\n]*\?\s*\n\s*[—-]?\s*", t.low):
-        if own := _COUNTRY.match(t.low, m.end()):
-            out.append((*own.span(), "citizenship", "citizenship", 0.9))
-    return out
-
-
-def _issuer_start():
-    at = "|".join(regex.escape(w) for w in sorted(ISSUE_AT, key=len, reverse=True))
-    gap = r"(?:[ :,]|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{2,4}|[0-9]{1,2} [а-я]+ [0-9]{4}|г\.|года){0,12}"
-    first = "|".join(regex.escape(w) for w in sorted(ISSUE_START, key=len, reverse=True))
-    return regex.compile(rf"(?<!\p{{L}})(?:{at}){gap}((?:{first})(?!\p{{L}}))")
-
-
-ISSUER = _issuer_start()
-
-
-def issuers(t: Text) -> list[Span]:
-    out = []
-    for m in ISSUER.finditer(t.low):
-        start = m.start(1)
-        stop = regex.search(r"\n|;|\.(?= ?[А-ЯЁ]|\s*$)(?<!\bг\.)|,|(?=\s[0-9]{1,2}[./][0-9])|(?=\s(?:код|дата|серия|выдан)\p{L}*)", t.raw[start : start + 200])
-        end = start + (stop.start() if stop else min(200, len(t.raw) - start))
-        value = " ".join(t.raw[start:end].split(" ")[:16]).rstrip(" ,.")
-        out.append((start, start + len(value), "passport_issuer", "issuer", 0.9))
-    return out

@@ -179,3 +179,17 @@ QUERIES["confidence_near_keyword"] = confidence_near_keyword
 ORACLE_SQL["confidence_near_keyword"] = (
     f"select {KEY}, round(0.9::double - 0.2 * ({KEY} % 2) + 0.05 + 0.01 * (1 - ({KEY} % 9 + 1) / 60.0::double), 9) as confidence from customer"
 )
+
+# places: listed and declined states, authorities behind dates, birth places behind dates and prefixes
+_STATES = ("Египта", "Лихтенштейна", "Норвегии", "Японии", "Канады", "Мексики", "Чили", "Перу", "Ирака", "Кубы", "Сербии", "Латвии", "Катара")
+holds("citizenship_declined", "гражданин ", picked(_STATES), "citizenship", ", проживает")
+holds("citizenship_label", "гражданство: ", picked(("РФ", "Республика Корея", "Того", "Российская Федерация", "Сан-Марино")), "citizenship", ".")
+holds("citizenship_english", "He has ", picked(("Russian", "German", "Chinese", "Kazakh")), "citizenship", " citizenship")
+_TOWN = picked(tuple(t.title() for t in TOWNS if "-" not in t and " " not in t))
+holds("issuer_behind_date", "паспорт выдан 12.05.2010 ", f"concat('ОВД № ', {_DAY}, ' района г. ', {_TOWN})", "passport_issuer", ", дата рождения")
+holds("issuer_with_number", "кем выдан: ", f"concat({_DAY}, ' отделением милиции')", "passport_issuer", ". Проживает")
+holds("issuer_goes_on", "выдан ", f"concat('ГУ МВД России по г. ', {_TOWN}, ', отделение № ', {_DAY})", "passport_issuer", ", копия приложена")
+holds("issuer_sixteen_words", "выдан ", f"concat('УФМС по ', repeat('слову ', 13), cast({KEY} as string))", "passport_issuer", " лишнее слово и ещё")
+holds("birthplace_prefix", "место рождения: ", f"concat('г. ', {_TOWN})", "birth_place", "; далее")
+holds("birthplace_behind_date", "родилась 12.05.1990 в ", _TOWN, "birth_place", "; далее")
+holds("birthplace_region", "место рождения: ", f"concat('дер. Малиновка, ', {picked(('Тульская область', 'Пермский край', 'Рязанской области'))})", "birth_place", "; далее")
