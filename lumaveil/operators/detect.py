@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.lexicon import CATEGORIES, DIVISION_WORDS, ISSUE_WORDS, OTHER_PAPERS, OTHER_PAPERS_WHOLE, BIRTH_WORDS
-from . import people, phrases, places, rules
+from . import addresses, people, phrases, places, rules
 from .rules import Span, Text, left_word
 
 SPAN = T.StructType(
@@ -53,7 +53,7 @@ class Registry:
 def default() -> Registry:
     r = Registry().add("regex", {x.category for x in rules.RULES} | {"birth_date"}, rules.detect)
     r.add("datewords", {"date", "birth_date"}, phrases.russian(phrases.dates_in_words)).add("names", {"full_name"}, people.names)
-    r.add("cardholder", {"card_holder"}, phrases.holders).add("address", {"address"}, phrases.russian(phrases.addresses))
+    r.add("cardholder", {"card_holder"}, phrases.holders).add("address", {"address"}, phrases.russian(addresses.addresses))
     r.add("birthplace", {"birth_place"}, phrases.russian(places.birth_places)).add("citizenship", {"citizenship"}, places.citizenships)
     return r.add("issuer", {"passport_issuer"}, phrases.russian(places.issuers))
 

@@ -1,11 +1,10 @@
-"""Detection by word lists and small grammars: dates in words, addresses, card holders."""
+"""Detection by word lists and small grammars: dates in words, card holders."""
 
 from __future__ import annotations
 
 import regex
 
-from ..functions.dictionaries import TOWNS
-from .rules import Span, Text, birth_or_date, left_part, left_word, right_word
+from .rules import Span, Text, birth_or_date, left_word, right_word
 
 # Word lists of the language.
 _UNITS = "перв втор трет четверт пят шест седьм восьм девят".split()
@@ -13,16 +12,8 @@ _TEENS = "десят одиннадцат двенадцат тринадцат
 _TENS = {20: "двадцат", 30: "тридцат", 40: "сороков", 50: "пятидесят", 60: "шестидесят", 70: "семидесят", 80: "восьмидесят", 90: "девяност"}
 _TENS_FIRST = {20: "двадцать", 30: "тридцать", 40: "сорок", 50: "пятьдесят", 60: "шестьдесят", 70: "семьдесят", 80: "восемьдесят", 90: "девяносто"}
 _MONTH = "января февраля марта апреля мая июня июля августа сентября октября ноября декабря".split()
-CITIES = frozenset(
-    "москва санкт-петербург новосибирск екатеринбург казань челябинск омск самара уфа красноярск воронеж пермь волгоград саратов тюмень тольятти "
-    "ижевск барнаул иркутск ульяновск хабаровск ярославль владивосток махачкала томск оренбург кемерово рязань астрахань пенза липецк киров тула "
-    "калининград курск сочи ставрополь тверь магнитогорск иваново брянск белгород владимир калуга смоленск вологда орел мурманск петрозаводск".split()
-) | frozenset(TOWNS)
 HOLDER_WORDS = ("держатель", "держатель карты", "владелец карты", "cardholder", "card holder", "name on card", "имя на карте")
 HOLDER_STOPS = frozenset("visa mastercard mir maestro card bank gold platinum classic debit credit world electron unionpay valid thru month year cvv cvc pin sms".split())
-ORGANISATION = ("банк", "офис", "отделени", "филиал", "магазин", "организац", "юридический адрес", "ооо", "зао", "пао")
-PERSONAL = ("прожива", "зарегистрирован", "прописан", "мой адрес", "адрес доставки", "домашний")
-HOME = ("адрес", "адресу", "прописка", "регистрация", "проживает", "проживающий", "проживания", "живет", "живу", "прописан", "зарегистрирован", "address")
 
 
 def _ordinals(stem: str) -> list[str]:
@@ -80,49 +71,3 @@ def holders(t: Text) -> list[Span]:
         if upper and card or near and all(w[0].isupper() for w in words):
             out.append((*m.span(), "card_holder", "cardholder", 0.95 if upper and card else 0.85))
     return out
-
-
-_PLACE = r"[А-ЯЁ][а-яё]+(?:[- ][А-ЯЁ][а-яё]+)?"
-PARTS = {
-    "index": regex.compile(r"(?<![0-9])[1-9][0-9]{5}(?![0-9])(?=,)"),
-    "region": regex.compile(rf"{_PLACE} (?:область|обл\.?|край|республика|район|р-н)|(?:республика|респ\.) {_PLACE}", regex.I),
-    "locality": regex.compile(rf"(?<!\p{{L}})(?:г\.|гор\.|город|городе|с\.|село|дер\.|деревня|пос\.|поселок|посёлок|ст\.) ?{_PLACE}"),
-    "street": regex.compile(
-        rf"(?<!\p{{L}})(?:ул\.|улица|улице|пр-т|проспект|проспекте|просп\.|пер\.|переулок|пл\.|площадь|наб\.|набережная|ш\.|шоссе|б-р|бульвар) ?(?:[0-9]+-?[а-я]* )?[А-ЯЁ][а-яё]+(?:[- ][А-ЯЁ]?[а-яё]+)?"
-        rf"|(?<!\p{{L}})[А-ЯЁ][а-яё]+(?:ая|ий|ый|ой) (?:улица|ул\.|проспект|пр-т|переулок|пер\.|набережная|наб\.|шоссе|площадь)"
-    ),
-    "house": regex.compile(r"(?<!\p{L})(?:д\.|дом|доме) ?[0-9]+[а-яА-Я]?(?:/[0-9]+)?(?![0-9])|(?<!\p{L})(?:корп\.|корпус|стр\.|строение|к\.) ?[0-9]+"),
-    "flat": regex.compile(r"(?<!\p{L})(?:кв\.|квартира|квартире|оф\.|офис) ?[0-9]+"),
-}
-
-
-CITY = regex.compile(r"(?<![\p{L}-])(?:" + "|".join(regex.escape(c) for c in sorted(CITIES, key=len, reverse=True)) + r")(?![\p{L}-])")
-
-
-def addresses(t: Text) -> list[Span]:
-    found = sorted(((m.start(), -m.end(), kind) for kind, p in PARTS.items() for m in p.finditer(t.raw)), key=lambda x: x[:2])
-    known = [(m.start(), -m.end(), "locality") for m in CITY.finditer(t.low) if t.raw[m.start()].isupper()]
-    found = sorted(found + known)
-    parts: list[tuple[int, int, str]] = []
-    for a, b, kind in found:
-        if not parts or a >= parts[-1][1]:
-            parts.append((a, -b, kind))
-    out, at = [], 0
-    while at < len(parts):
-        until = at + 1
-        while until < len(parts) and regex.fullmatch(r"[ ,]{0,3}|, ?[0-9]+,? ?", t.raw[parts[until - 1][1] : parts[until][0]]):
-            until += 1
-        group = parts[at:until]
-        kinds = {k for _, _, k in group}
-        start, end = group[0][0], group[-1][1]
-        if "street" in kinds and (m := regex.match(r",? ?[0-9]+[а-я]?(?:/[0-9]+)?(?![0-9.])", t.raw[end:])) and not kinds & {"house"}:
-            end += m.end()
-            kinds.add("house")
-        whole = {"street", "house"} <= kinds or "locality" in kinds and kinds & {"street", "house", "region", "index"}
-        if whole or left_word(t, start, 30, HOME) is not None:
-            ours = left_part(t, start, 60, ORGANISATION)
-            mine = left_part(t, start, 60, PERSONAL)
-            if ours is None or mine is not None and mine < ours:
-                out.append((start, end, "address", "address", 0.9))
-        at = until
-    return out

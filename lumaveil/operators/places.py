@@ -20,7 +20,7 @@ def _any(words) -> str:
 
 
 def declined(name: str) -> list[str]:
-    """The forms of a state's name, by its last letters; names in -о, -и, -у, -е and the like have one."""
+    """The forms of a place's name, by its last letters; names in -о, -и, -у, -е and the like have one."""
     if name == "египет":
         return [name, *("египт" + e for e in ("а", "у", "ом", "е"))]
     if name.endswith("ия"):
@@ -31,6 +31,8 @@ def declined(name: str) -> list[str]:
         return [name, *(name[:-1] + e for e in ("и", "е", "ю", "ей"))]
     if name.endswith("й"):
         return [name, *(name[:-1] + e for e in ("я", "ю", "ем", "е"))]
+    if name.endswith("ь"):
+        return [name, *(name[:-1] + e for e in ("и", "ью", "я", "ю", "ем", "е"))]
     if name.endswith("ы"):
         return [name, name[:-1], *(name[:-1] + e for e in ("ам", "ами", "ах"))]
     if name[-1] in "бвгджзклмнпрстфхцчшщ" and len(name) > 3:

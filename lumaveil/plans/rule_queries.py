@@ -193,3 +193,20 @@ holds("issuer_sixteen_words", "выдан ", f"concat('УФМС по ', repeat('
 holds("birthplace_prefix", "место рождения: ", f"concat('г. ', {_TOWN})", "birth_place", "; далее")
 holds("birthplace_behind_date", "родилась 12.05.1990 в ", _TOWN, "birth_place", "; далее")
 holds("birthplace_region", "место рождения: ", f"concat('дер. Малиновка, ', {picked(('Тульская область', 'Пермский край', 'Рязанской области'))})", "birth_place", "; далее")
+
+# addresses: a part of each kind beside what makes it an address
+_STREET = picked(("Ленина", "Мира", "Гагарина", "Пушкина"))
+holds("address_index_country", "Адрес: ", f"concat('11', lpad(cast({KEY} % 10000 as string), 4, '1'), ', Россия, г. ', {_TOWN}, ', ул. ', {_STREET}, ', д. ', {_DAY})", "address", "; спасибо")
+holds("address_region_district", "проживает: ", f"concat('Тульская область, Ясногорский район, с. ', {_TOWN})", "address", "; спасибо")
+holds("address_bare_house", "доставить: ", f"concat('пр-т ', {_STREET}, ', ', {_DAY})", "address", "; спасибо")
+holds("address_bare_street", "живу в ", f"concat('г. ', {_TOWN}, ', ', {_STREET}, ' ', {_DAY}, ', кв. ', {_DAY})", "address", "; спасибо")
+holds("address_street_behind", "приду на ", f"concat('Тверская улица, ', {_DAY}, ' корп. ', {_DAY})", "address", "; спасибо")
+holds("address_box", "Пишите: ", f"concat('а/я ', {_DAY}, ', г. ', {_TOWN})", "address", "; спасибо")
+holds("address_field", "Улица: ", _STREET, "address", ";")
+_refused("address_refuses", (
+    (f"concat('живу: ул. ', {_STREET}, ', д. ', {_DAY})", "address"),
+    (f"concat('отделение банка на ул. ', {_STREET}, ' д. ', {_DAY})", "address"),  # an organisation's
+    (f"concat('позвоните на горячую линию банка ', {_DAY})", "address"),  # a hotline
+    (f"concat({_TOWN}, ' слезам не верит')", "address"),  # a town alone
+    (f"concat('у нас дом ', {_DAY})", "address"),  # a house alone
+))
