@@ -1,8 +1,10 @@
-"""Near copies by the similarity of their shingle sets: Jaccard AT_LEAST and more.
+"""SimHash near-dedup for a stage that needs near copies at a Jaccard similarity of AT_LEAST, not at a few bits.
 
-Candidates come from MinHash: BANDS keys a document, each of ROWS minima of its set. A pair at Jaccard s shares a key
-with probability 1 - (1 - s^ROWS)^BANDS, 0.99997 at 0.8; that is the only place where a pair can be missed. What meets
-under a key is compared by its whole sets, and only pairs at AT_LEAST and more are linked.
+Documents meet under the keys of operator 10: the covering tables of RADIUS bits over SimHash fingerprints of their
+shingles, so that every pair within RADIUS bits meets. At a similarity of 0.8 a pair differs in about 10 of 64 bits,
+for which a cover would take 2,047 tables; so they also meet under BANDS MinHash keys, each of ROWS minima of the set.
+A pair at Jaccard s shares one of those with probability 1 - (1 - s^ROWS)^BANDS, 0.99997 at 0.8; that is the only place
+where a pair can be missed. What meets is compared by its whole sets, and only pairs at AT_LEAST and more are linked.
 
 Equal sets are one class and compared once. Keys under which the same classes meet are one bucket. A bucket of over
 BLOCK classes is dealt to blocks, each pair of which is one group, so that no task holds a large bucket.
@@ -22,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, small_batches, text_of, written
-from .simhash import shingle_hashes
+from .simhash import cover, fingerprint_of, shingle_hashes
 
 AT_LEAST = 0.8
 BANDS, ROWS = 26, 5
+RADIUS = 2
 #: Classes of a bucket compared in one task; shingles whose minima are taken at once.
 BLOCK, CHUNK = 512, 2048
 
@@ -44,6 +47,14 @@ def name_of(s: np.ndarray) -> int:
     return int(np.array(xxhash.xxh3_64_intdigest(s.tobytes()), np.uint64).view(np.int64))
 
 
+COVER = cover(RADIUS)
+
+
+def cover_keys(fp: int) -> list[int]:
+    """A key for each covering table, signed."""
+    return np.array([xxhash.xxh3_64_intdigest((fp & kept).to_bytes(8, "little"), BANDS + i) for i, kept in enumerate(COVER)], np.uint64).view(np.int64).tolist()
+
+
 def keys(s: np.ndarray) -> list[int]:
     """A key for each band, signed; none for the empty set."""
     if not len(s):
@@ -112,11 +123,13 @@ def keep_first(docs: DataFrame, width: int = 5, at_least: float = AT_LEAST) -> D
 
     def signed(frames):
         for f in frames:
-            s = [shingles(t, width) for t in f["text"]]
-            yield pd.DataFrame({"doc": f["doc"], "own": f["own"], "name": [name_of(x) for x in s], "keys": [keys(x) for x in s]})
+            hashes = [shingle_hashes(t, width) for t in f["text"]]
+            s = [np.unique(h) for h in hashes]
+            found = [keys(x) + cover_keys(fingerprint_of(h)) for x, h in zip(s, hashes)]
+            yield pd.DataFrame({"doc": f["doc"], "own": f["own"], "name": [name_of(x) for x in s], "keys": found})
 
     rows = written(texts.withColumn("own", F.xxhash64("text")).mapInPandas(signed, "doc long, own long, name long, keys array<long>"))
-    classes = rows.groupBy("name").agg(F.min("doc").alias("doc"), F.first("keys").alias("keys"))
+    classes = rows.groupBy("name").agg(F.min("doc").alias("doc"), F.min("keys").alias("keys"))
     parts = components(near_links(texts, classes, width, at_least))
     named = rows.groupBy("name").agg(F.min(F.struct("doc", "own")).alias("least")).join(parts.withColumnRenamed("node", "name"), "name", "left")
     first = named.groupBy(F.coalesce("component", "name")).agg(F.min("least").alias("least"))

@@ -58,7 +58,11 @@ def shingle_hashes(text: str, width: int) -> np.ndarray:
 
 def fingerprint(text: str, width: int = 3) -> int:
     """Unsigned 64-bit fingerprint of one text."""
-    h = shingle_hashes(text or "", width)
+    return fingerprint_of(shingle_hashes(text or "", width))
+
+
+def fingerprint_of(h: np.ndarray) -> int:
+    """Unsigned 64-bit fingerprint of shingle hashes, repeats included."""
     if not len(h):
         return 0
     octets = h.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)

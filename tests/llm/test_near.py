@@ -66,3 +66,13 @@ def test_links_and_blocks(spark):
     classes = spark.createDataFrame([(near.name_of(s), near.keys(s), i) for i, s in enumerate(sets)], "name long, keys array<long>, doc long")
     for block in (3, 512):
         assert parts([(ids[r.a], ids[r.b]) for r in near.near_links(docs, classes, 5, 0.8, block).collect()]) == want
+
+
+def test_texts_within_the_radius_share_a_table():
+    rng = random.Random(8)
+    for _ in range(300):
+        fp = rng.getrandbits(64)
+        other = fp
+        for bit in rng.sample(range(64), rng.randint(0, near.RADIUS)):
+            other ^= 1 << bit
+        assert set(near.cover_keys(fp)) & set(near.cover_keys(other))
