@@ -148,3 +148,53 @@ def test_whole_dictionaries():
     missed += [n for n in W.TOWNS if found(f"Адрес: {n.title()}, ул. Ленина, д. 5", "address") != [f"{n.title()}, ул. Ленина, д. 5"]]
     missed += [n for n in W.FAMOUS_PEOPLE if not n.endswith("ович") and not n.endswith("евич") and found(f"стихи {n.title()} читали", "full_name")]
     assert missed == []
+
+
+def test_places_by_keyword_gap_and_end():
+    from lumaveil.operators import places as P
+    from lumaveil.operators.rules import Text
+
+    values = lambda find, x: [x[a:b] for a, b, *_ in find(Text(x))]
+    for text, want in (
+        ("гражданство того человека", []), ("гражданство: Того", ["Того"]), ("гражданство: не указано", []), ("гражданин Египта", ["Египта"]),
+        ("Гражданка Республики Беларусь", ["Республики Беларусь"]), ("гражданство?\nРоссия", ["Россия"]), ("He has Russian citizenship", ["Russian"]),
+    ):
+        assert values(P.citizenships, text) == want, text
+    for text, want in (
+        ("выдан отделом продаж", []), ("кем выдан: 2 отделением милиции. Проживает", ["2 отделением милиции"]),
+        ("выдан ГУ МВД России по г. Москве, отделение № 5, копия", ["ГУ МВД России по г. Москве, отделение № 5"]),
+        ("паспорт выдан 12.05.2010 ОВД района Хамовники г. Москвы, дата", ["ОВД района Хамовники г. Москвы"]),
+    ):
+        assert values(P.issuers, text) == want, text
+    for text, want in (
+        ("родился в городе Казани", ["Казани"]), ("клиент родился где-то там", []), ("Лев Толстой родился в Ясной Поляне", []), ("родился", []),
+        ("место рождения: с. Ивановка, Рязанской области, РФ", ["с. Ивановка, Рязанской области"]),
+    ):
+        assert values(P.birth_places, text) == want, text
+
+
+def test_addresses_by_parts_and_groups():
+    from lumaveil.operators import addresses as A
+    from lumaveil.operators.rules import Text
+
+    for text, want in (
+        ("живу в Казани, Ленина 15, кв. 3", ["Казани, Ленина 15, кв. 3"]), ("Отделение банка: ул. Ленина, д. 5", []), ("Москва слезам не верит", []),
+        ("офис на ул. Ленина, д. 5, проживаю ул. Мира, д. 6", ["ул. Мира, д. 6"]), ("ул. Ленина, д. 5. Телефон банка", ["ул. Ленина, д. 5"]), ("дом 5", []),
+        ("г. Санкт-Петербург, Невский проспект, д. 1", ["г. Санкт-Петербург, Невский проспект, д. 1"]), ("Город: Москва\nУлица: Мира, Дом: 5", ["Москва", "Мира", "5"]),
+        ("115093, Россия, Москва, Тверская улица, 7 корп. 2", ["115093, Россия, Москва, Тверская улица, 7 корп. 2"]), ("позвоните на горячую линию банка", []),
+    ):
+        assert [text[a:b] for a, b, *_ in A.addresses(Text(text))] == want, text
+
+
+def test_names_in_every_shape():
+    from lumaveil.operators.people import names
+    from lumaveil.operators.rules import Text
+
+    for text, want in (
+        ("Мамедова Севиль Фарид кызы", ["Мамедова Севиль Фарид кызы"]), ("Иванова (Петрова) Севиль Эльдаровна", ["Иванова (Петрова) Севиль Эльдаровна"]),
+        ("Уважаемая Севиль Эльдаровна!", ["Севиль Эльдаровна"]), ("Александр Сергеевич позвонил вчера", ["Александр Сергеевич"]), ("Александр Сергеевич гулял", []),
+        ("Лев Толстой писал", []), ("клиент Лев Толстой", ["Лев Толстой"]), ("мой брат Лев Толстой", ["Лев Толстой"]), ("Лев Толстой, тел +7 916 123-45-67", ["Лев Толстой"]),
+        ("Гагарина Юрия Алексеевича знают", []), ("ахметзянова зульфия ильгизовна", ["ахметзянова зульфия ильгизовна"]), ("name: John Smith Brown", ["John Smith Brown"]),
+        ("на имя Джон Смит.", ["Джон Смит"]), ("на имя Джон Смит пришло", []), ("3. Отчество: Дмитриевна", ["Дмитриевна"]),
+    ):
+        assert [text[a:b] for a, b, *_ in names(Text(text))] == want, text

@@ -83,5 +83,5 @@ def test_fakes_are_valid_and_others():
         new = M.fake(card, "card_number")
         assert V.luhn(new) and new != card and new.count(" ") == 3 and M.fake(card, "card_number") == new
         assert V.inn(M.fake(f"{500100732000 + i}", "inn")) and V.snils(M.fake(f"112-233-4{i % 90 + 10} 95", "snils"))
-    assert M.fake("4111 1111 1111 1", "card_number") is None
+    assert V.luhn(M.fake("4111 1111 1111 1", "card_number")) and M.fake("4111 1111 1111", "card_number") is None
     assert V.date(M.fake("12.05.1990", "birth_date"))
