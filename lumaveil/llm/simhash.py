@@ -12,7 +12,8 @@ are looked up by turning bits over.
 
 Defined cases: a null text is the empty text; no words give fingerprint zero, linked like any other; fewer words
 than a shingle give one shingle of them all; rows with a null doc_id are kept and count in no minimum; repeated
-rows come back as often as they came in; other columns are ignored.
+rows come back as often as they came in; very long texts are read whole; other columns are ignored; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -178,30 +179,38 @@ def near_links(classes: DataFrame, radius: int, bucket: int = BUCKET) -> DataFra
     return small.unionAll(large).select(F.explode(links("kept", "fps")).alias("l")).select("l.a", "l.b").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs: links at Hamming distance <= radius."""
+def grouped(docs: DataFrame, width: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row, and (fp, component) of every fingerprint; component is a fingerprint of the group."""
     small_batches(docs.sparkSession)
     prints = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_udf(width)(text_of()).alias("fp")))
-    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    parts = components(near_links(classes.select("fp"), radius))
-    named = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    classes = written(prints.select("fp").distinct())
+    parts = components(near_links(classes, radius))
+    return prints, classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of docs: links at Hamming distance <= radius."""
+    prints, parts = grouped(docs, width, radius)
+    named = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(parts, "fp")
     first = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of = named.join(first, "component").select("fp", "component_id")
     return prints.join(of, "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, width: int = 5, radius: int = 5) -> DataFrame:
-    """docs with one document of each group, that of the smallest doc_id; of repeated rows with it one stays.
+    """docs with one document of each group, that of the smallest doc_id; of repeated rows with it that of the least JSON.
 
-    Links at `radius` bits mean an estimated cosine of shingle sets of cos(pi radius / 64) or more. Rows with a null
-    doc_id stay.
+    Links at `radius` bits mean an estimated cosine of shingle sets of cos(pi radius / 64) or more. Rows that share a
+    doc_id but not a fingerprint are documents of their own; rows with a null doc_id stay.
     """
-    found = near_duplicates(docs, width, radius)
-    kept = written(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")))
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
-    once = rows.join(kept.where("n = 1"), "doc_id", "left_semi").select("row").unionAll(rows.where("doc_id is null").select("row"))
-    if not kept.where("n > 1").isEmpty():
-        once = once.unionAll(rows.join(kept.where("n > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("row"))
+    prints, parts = grouped(docs, width, radius)
+    known = prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id")).join(parts, "fp")
+    kept = written(known.groupBy("component").agg(F.min(F.struct("doc_id", "fp")).alias("k")).select("k.doc_id", "k.fp"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), fingerprint_udf(width)(text_of()).alias("fp"))
+    several = written(prints.join(kept, ["doc_id", "fp"], "left_semi").groupBy("doc_id", "fp").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "fp"))
+    once = rows.join(kept, ["doc_id", "fp"], "left_semi").join(several, ["doc_id", "fp"], "left_anti").select("row").unionAll(rows.where("doc_id is null").select("row"))
+    if not several.isEmpty():
+        once = once.unionAll(rows.join(several, ["doc_id", "fp"], "left_semi").groupBy("doc_id", "fp").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row"))
     return once.select("row.*")
 
 

@@ -103,3 +103,7 @@ def test_keep_first(spark):
     out = S.keep_first(df)
     assert out.columns == df.columns
     assert sorted((r.doc_id for r in out.collect()), key=str) == [3, 7, None]
+    rows = [(1, text, "a"), (1, "alpha beta gamma delta epsilon zeta", "b"), (2, "alpha beta gamma delta epsilon zeta", "c"), (2, "one more of another kind altogether", "d")]
+    for order in (1, -1):
+        out = S.keep_first(spark.createDataFrame(rows[::order], "doc_id long, text string, fp string"))
+        assert sorted(r.fp for r in out.collect()) == ["a", "b", "d"]
