@@ -30,11 +30,11 @@ from . import windows
 from .common import small_batches, text_of, written
 
 #: Bytes of text in a block, and bytes of text for each bucket.
-BATCH, BUCKET = 1 << 21, 1 << 21
+BATCH, BUCKET = 1 << 20, 1 << 21
 #: Contents of one anchor up to which they meet by anchor.
 HOT = 5_000
 #: Words whose hashes a worker remembers.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 17
 
 ENTRY = [("h", "<u8"), ("s", "<u8"), ("doc", "<i8"), ("at", "<i8"), ("n", "<i4")]
 RANGES = "doc long, start long, stop long, s long"
@@ -106,7 +106,7 @@ class Block:
         self.bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         self.exact = np.concatenate(parts)
         self.values = units.hashed(self.exact, numbers)
-        self.of = np.repeat(np.arange(len(parts)), np.diff(self.bounds))
+        self.of = np.repeat(np.arange(len(parts), dtype=np.int32), np.diff(self.bounds))
         # segments: document, first window, windows, hash of anchor, hash of content
         self.d, self.first, self.n, self.h, self.s, self.sums = windows.segments(self.values, self.bounds, units.width, units.k)
 
@@ -131,7 +131,7 @@ def blocks_of(rows: Iterator[tuple[int, bytes]], units: Units) -> Iterator[Block
                 bases.append(base)
                 parts.append(u[base : base + BATCH + units.width - 1])
                 n += len(parts[-1])
-                if n > 2 * BATCH:
+                if n > BATCH:
                     yield Block(docs, bases, parts, numbers, units)
                     docs, bases, parts, n = [], [], [], 0
         if docs:

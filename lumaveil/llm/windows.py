@@ -76,8 +76,9 @@ def segments(units: np.ndarray, bounds: np.ndarray, width: int, k: int):
         step = min(have, span - have)
         low = np.minimum(low[: len(low) - step], low[step:])
         have += step
-    anchor = (low[:n] & PLACE).astype(np.int64)
-    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    anchor = (low[:n] & PLACE).astype(np.int32)
+    del low
+    doc = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds))
     inside = doc[:n] == doc[width - 1 :]
     first = np.flatnonzero(inside & np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:n] != doc[: n - 1]) | ~inside[:-1]]))
     stop = np.concatenate([[False], (anchor[1:] != anchor[:-1]) | (doc[1:n] != doc[: n - 1]) | ~inside[1:]])
