@@ -85,8 +85,8 @@ def suffix_array(text: list[int]) -> list[int]:
     return out
 
 
-#: Letters of a string from which it is ordered by itself, and letters of strings ordered side by side.
-LONG, TOGETHER = 1 << 14, 1 << 20
+#: Strings of about one length from which they are ordered side by side, and letters of them at once.
+FEW, TOGETHER = 48, 1 << 19
 
 
 def suffix_arrays(text: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -98,17 +98,20 @@ def suffix_arrays(text: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """
     sizes = np.diff(bounds)
     out = np.empty(len(text), np.int64)
-    for i in np.flatnonzero(sizes >= LONG):
-        a, b = int(bounds[i]), int(bounds[i + 1])
-        out[a:b] = np.array(suffix_array(text[a:b].tolist()), np.int64) + a
-    short = np.flatnonzero((sizes > 0) & (sizes < LONG))
-    short = short[np.argsort(-sizes[short], kind="stable")]
-    cuts = np.flatnonzero(np.diff(np.cumsum(sizes[short]) // TOGETHER)) + 1 if len(short) else []
-    for part in np.split(short, cuts) if len(short) else []:
-        n = sizes[part]
-        first = np.concatenate([[0], np.cumsum(n)])
-        places = np.repeat(bounds[:-1][part] - first[:-1], n) + np.arange(first[-1])
-        out[places] = places[_side_by_side(text[places], first)]
+    kind = np.where(sizes > 0, np.frexp(sizes.astype(np.float64))[1], 0)  # doubling lengths: a step costs as much for one string
+    for k in np.unique(kind[kind > 0]):
+        alike = np.flatnonzero(kind == k)
+        if len(alike) < FEW:
+            for i in alike:
+                a, b = int(bounds[i]), int(bounds[i + 1])
+                out[a:b] = np.array(suffix_array(text[a:b].tolist()), np.int64) + a
+            continue
+        alike = alike[np.argsort(-sizes[alike], kind="stable")]
+        for part in np.split(alike, np.flatnonzero(np.diff(np.cumsum(sizes[alike]) // TOGETHER)) + 1):
+            n = sizes[part]
+            first = np.concatenate([[0], np.cumsum(n)])
+            places = np.repeat(bounds[:-1][part] - first[:-1], n) + np.arange(first[-1])
+            out[places] = places[_side_by_side(text[places], first)]
     return out
 
 
@@ -126,44 +129,51 @@ def _side_by_side(text: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     group, where = np.empty(n, np.int64), np.empty(n, np.int64)
     group[held] = np.cumsum(new) - 1
     where[held] = np.arange(n)
-    taken, moves = np.zeros(count + n, bool), np.zeros(n, bool)
+    taken, moves = np.zeros(n, bool), np.zeros(n, bool)  # by place
     before = np.arange(-1, n - 1)
     before[first] = -1
     previous = np.full(n, -1)
     now, low = group[held[bounds[1:] - 1]], first
     while len(now):
-        taken[now] = True
         at, many = start[now], size[now]
-        mine = held[np.repeat(at - np.cumsum(many) + many, many) + np.arange(many.sum())]
-        previous[mine] = before[mine]
-        seek = mine
+        ends = many.cumsum()
+        mine = held[(at - ends + many).repeat(many) + np.arange(ends[-1])]
+        taken[mine] = True
+        to = before[mine]
+        previous[mine] = to
+        on = np.flatnonzero((to >= 0) & taken[to])  # place -1 is the last one: left out by the first test
+        seek, to = mine[on], to[on]
         while len(seek):
-            to = previous[seek]
-            on = to >= 0
-            on[on] = taken[group[to[on]]]
-            seek = seek[on]
-            previous[seek] = previous[to[on]]
+            to = previous[to]
+            previous[seek] = to
+            on = np.flatnonzero((to >= 0) & taken[to])
+            seek, to = seek[on], to[on]
         hit = previous[mine]
-        hit, times = np.unique(hit[hit >= 0], return_counts=True)
+        hit = hit[hit >= 0]
         if len(hit):
+            hit.sort()
+            heads = np.flatnonzero(hit[1:] != hit[:-1]) + 1
+            times = np.diff(heads, prepend=0, append=len(hit))
+            hit = hit[np.append(0, heads)]
             g = group[hit]
-            order = np.lexsort((times, g))
-            hit, times, g = hit[order], times[order], g[order]
-            other = np.append(True, g[1:] != g[:-1])
-            parts = np.flatnonzero(other | np.append(True, times[1:] != times[:-1]))
-            heads = np.flatnonzero(other)
-            counts = np.diff(np.append(heads, len(g)))
+            key = g * (int(times.max()) + 1) + times
+            order = key.argsort(kind="stable")
+            hit, g, key = hit[order], g[order], key[order]
+            parts = np.append(0, np.flatnonzero(key[1:] != key[:-1]) + 1)
+            heads = np.append(0, np.flatnonzero(g[1:] != g[:-1]) + 1)
+            counts = np.diff(heads, append=len(g))
             old = g[heads]
             tail = start[old] + size[old] - counts
-            to = np.repeat(tail - heads, counts) + np.arange(len(g))
-            moves[hit] = True
+            to = (tail - heads).repeat(counts) + np.arange(len(g))
             there, here = held[to], where[hit]
-            there, here = there[~moves[there]], here[here < np.repeat(tail, counts)]
+            moves[hit] = True
+            there = there[~moves[there]]
+            moves[hit] = False
+            here = here[here < tail.repeat(counts)]
             held[here], where[there] = there, here
             held[to], where[hit] = hit, to
-            moves[hit] = False
-            lengths = np.diff(np.append(parts, len(g)))
-            group[hit] = count + np.repeat(np.arange(len(parts)), lengths)
+            lengths = np.diff(parts, append=len(g))
+            group[hit] = (count + np.arange(len(parts))).repeat(lengths)
             start[count : count + len(parts)], size[count : count + len(parts)] = to[parts], lengths
             size[old] -= counts
             count += len(parts)
@@ -175,18 +185,18 @@ def _side_by_side(text: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
     def chain(s: np.ndarray) -> None:
         while len(s):
-            s = s[~placed[s]]
             g = group[s]
-            out[slot[g]] = s
-            slot[g] += 1
+            at = slot[g]
+            out[at] = s
+            slot[g] = at + 1
             placed[s] = True
             s = previous[s]
-            s = s[s >= 0]
+            s = s[(s >= 0) & ~placed[s]]
 
     chain(bounds[1:] - 1)
     lengths = np.diff(bounds)
     longest_first = -lengths
     for r in range(int(lengths[0])):
-        s = out[first[: np.searchsorted(longest_first, -r)] + r]
-        chain(before[s][before[s] >= 0])
+        s = before[out[first[: np.searchsorted(longest_first, -r)] + r]]
+        chain(s[(s >= 0) & ~placed[s]])
     return out
