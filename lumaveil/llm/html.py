@@ -5,18 +5,20 @@ adverts, notices, forms, comments and the like, which are left out; blocks under
 sure text. The words of all blocks left, page after page of a host, make one stream of tokens. Its stretches around each
 shared anchor (see windows.py; a run that recurs has its anchor more than once) are put end to end; in their suffix array,
 neighbours that agree on RUN words, or on a whole shorter block, are one run, and a run that lies on at least SPREAD of
-the pages is boilerplate. Sure text stays however often it is repeated: it is the article's. On pages without any, what
-boilerplate covers is taken out and the runs left are kept.
+the host's pages is boilerplate. Sure text stays however often it is repeated: it is the article's. On pages without any,
+what boilerplate covers is taken out and the runs left are kept.
 
-A host's pages are dealt by a hash to groups of about GROUP pages or GROUP_BYTES, so that a large host is many groups;
-boilerplate recurs in each.
+A host's pages are dealt by a hash to groups of about GROUP pages or GROUP_BYTES, so that a large host is many groups.
+The share is the whole host's, exactly: a run on SPREAD of a host's pages is on SPREAD of some group's, so the suffix
+arrays of the groups find every run that can be boilerplate; each group then counts its pages with each run that any
+group of the host found, and the sums decide. Runs go between groups as 128 bits of hash.
 
 Defined cases: a null html is an empty page; no text gives the empty string; an element left open ends with the element
 around it, a menu or the like that is never closed also where an article begins; an article inside a comment or aside
 belongs to that; hidden elements are left out; raw text of scripts and styles ends at their end tag or else with the
-page; a `<` that starts no tag is text; on hosts of under three pages nothing is boilerplate; a very long page is one
-group; repeated rows come back as often as they came and are one page; other columns are ignored; an empty table gives
-no rows.
+page; a `<` that starts no tag is text; on hosts of under three pages nothing is boilerplate; pages that are long or
+repeated make groups of about FEWEST different pages; repeated rows come back as often as they came and are one page;
+other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,20 +26,23 @@ from __future__ import annotations
 import html as entities
 import re
 from bisect import bisect_left
+from hashlib import blake2b
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import windows
 from .common import small_batches, written
 from .suffixes import suffix_arrays
 
-#: Words of a run; the share of a group's pages (three at least) that makes it boilerplate.
+#: Words of a run; the share of a host's pages (three at least) that makes it boilerplate.
 RUN, SPREAD, LEAST = 12, 0.2, 3
-#: Pages and bytes of html of a group; words looked at together for anchors.
-GROUP, GROUP_BYTES, PIECE = 64, 1 << 20, 1 << 20
+#: Pages and bytes of html of a group, and about the different pages that it has at least, as in a group of few pages every
+#: run has the share; words looked at together for anchors.
+GROUP, GROUP_BYTES, FEWEST, PIECE = 64, 1 << 20, 16, 1 << 20
 #: Hosts up to which their table, of under 100 bytes a row, is broadcast.
 FEW_HOSTS = 10_000
 
@@ -297,69 +302,183 @@ def repeated_runs(tokens: np.ndarray, owner: np.ndarray, starts: np.ndarray, end
     return place[hit], np.where(count[own[hit]] > 0, run, length[own[hit]])
 
 
-def boilerplate(pages: list[list[str]], run: int = RUN, spread: float = SPREAD) -> list[list[np.ndarray]]:
-    """For each page and block: which of its words are covered by a run that recurs on many of the pages."""
+class Words(NamedTuple):
+    """The words of pages: numbers, two hashes a word, the page of each, and where blocks start and end."""
+
+    tokens: np.ndarray
+    hashes: np.ndarray
+    owner: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+
+
+def words_of(pages: list[list[str]]) -> Words:
+    """pages: the blocks of each page."""
     numbers: dict[str, int] = {}
-    stream, owner, starts, ends = [], [], [], []
+    tokens, owner = [np.zeros(0, np.int64)], []
     for i, page in enumerate(pages):
         for block in page:
-            starts.append(len(stream))
-            stream += [numbers.setdefault(w, len(numbers) + 1) for w in block.split()]
-            ends.append(len(stream))
-        owner += [i] * (len(stream) - len(owner))
-    gone = np.zeros(len(stream) + 1, np.int64)
-    if len(pages) >= LEAST and stream:
-        least = max(LEAST, -(-int(spread * 100) * len(pages) // 100))
-        at, n = repeated_runs(*(np.array(x, np.int64) for x in (stream, owner, starts, ends)), least, run)
+            tokens.append(np.array([numbers.setdefault(w, len(numbers) + 1) for w in block.split()], np.int64))
+            owner.append(i)
+    sizes = np.array([len(t) for t in tokens[1:]], np.int64)
+    ends = np.cumsum(sizes)
+    hashes = np.frombuffer(b"".join(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=16).digest() for w in numbers), np.uint64)
+    return Words(np.concatenate(tokens), hashes.reshape(-1, 2), np.repeat(np.array(owner, np.int64), sizes), ends - sizes, ends)
+
+
+def all_runs(words: Words, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, length) of every run: `run` words of a block or a whole shorter one."""
+    size = words.ends - words.starts
+    count = np.where(size < run, np.minimum(size, 1), size - run + 1)
+    at = np.repeat(words.starts - np.cumsum(count) + count, count) + np.arange(count.sum())
+    return at, np.repeat(np.minimum(size, run), count)
+
+
+def run_keys(words: Words, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Two hashes of each run, as rows of longs."""
+    sums = (windows.Sums(words.hashes[words.tokens - 1, k]) for k in (0, 1))
+    return np.stack([s.of(at, at + n) for s in sums], 1).view(np.int64)
+
+
+def frequent(words: Words, least: int, run: int) -> np.ndarray:
+    """Keys, each once, of the runs that lie on at least `least` of the pages."""
+    if least < 2:
+        at, n = all_runs(words, run)
+    else:
+        at, n = repeated_runs(words.tokens, words.owner, words.starts, words.ends, least, run)
+    return np.unique(run_keys(words, at, n), axis=0) if len(at) else np.zeros((0, 2), np.int64)
+
+
+def found_again(words: Words, keys: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the key, place, length) of the runs that have one of the keys."""
+    at, n = all_runs(words, run)
+    mine = run_keys(words, at, n)
+    some = np.flatnonzero(np.isin(mine[:, 0], keys[:, 0]))
+    number = {k: i for i, k in enumerate(map(tuple, keys.tolist()))}
+    which = np.array([number.get(k, -1) for k in map(tuple, mine[some].tolist())], np.int64)
+    return which[which >= 0], at[some[which >= 0]], n[some[which >= 0]]
+
+
+def pages_with(words: Words, keys: np.ndarray, run: int) -> np.ndarray:
+    """On how many of the pages each key's run lies."""
+    which, at, _ = found_again(words, keys, run)
+    pairs = np.unique(np.stack([which, words.owner[at]], 1), axis=0)
+    return np.bincount(pairs[:, 0], minlength=len(keys))
+
+
+def without(pages: list[list[str]], keys: np.ndarray, run: int) -> list[str]:
+    """Each page's text without the words that the keys' runs cover."""
+    words = words_of(pages)
+    gone = np.zeros(len(words.tokens) + 1, np.int64)
+    if len(keys):
+        _, at, n = found_again(words, keys, run)
         np.add.at(gone, at, 1)
         np.add.at(gone, at + n, -1)
-    covered = np.cumsum(gone)[:-1] > 0
-    cuts = iter(zip(starts, ends))
-    return [[covered[a:b] for a, b in (next(cuts) for _ in page)] for page in pages]
-
-
-def unique_runs(pages: list[list[str]], run: int = RUN, spread: float = SPREAD) -> list[str]:
-    """Each page's text without the word runs that recur on many of the pages. pages: the blocks of each page."""
+    covered = np.cumsum(gone) > 0
+    cuts = zip(words.starts.tolist(), words.ends.tolist())
     out = []
-    for page, marks in zip(pages, boilerplate(pages, run, spread)):
-        kept = (" ".join(w for w, m in zip(block.split(), mark) if not m) for block, mark in zip(page, marks))
+    for page in pages:
+        kept = (" ".join(w for w, m in zip(block.split(), covered[a:b]) if not m) for block, (a, b) in zip(page, cuts))
         out.append("\n\n".join(k for k in kept if k))
     return out
 
 
+def share(pages: int, spread: float = SPREAD) -> int:
+    """The pages that are `spread` of so many, rounded up."""
+    return -(-int(spread * 100) * pages // 100)
+
+
+def unique_runs(pages: list[list[str]], run: int = RUN, spread: float = SPREAD) -> list[str]:
+    """Each page's text without the word runs that recur on many of the pages. pages: the blocks of each page of a host."""
+    return without(pages, frequent(words_of(pages), max(LEAST, share(len(pages), spread)), run), run)
+
+
+def texts(pages: list[list[tuple[str, str]]], keys: np.ndarray) -> list[str]:
+    """The main text of pages, from their (place, text) blocks; keys: those of the host's boilerplate."""
+    sure = [main_text(page) for page in pages]
+    plain = iter(without([[t for _, t in page] for page, text in zip(pages, sure) if text is None], keys, RUN))
+    return [next(plain) if text is None else text for text in sure]
+
+
 def host_texts(pages: list[list[tuple[str, str]]]) -> list[str]:
     """The main text of each of a host's pages, from their (place, text) blocks."""
-    plain = unique_runs([[t for _, t in page] for page in pages])
-    return [left if (sure := main_text(page)) is None else sure for page, left in zip(pages, plain)]
+    return texts(pages, frequent(words_of([[t for _, t in page] for page in pages]), max(LEAST, share(len(pages))), RUN))
+
+
+PLACES = {"a": "article", "m": "main", " ": ""}
+
+
+def packed(page: str) -> str:
+    """The blocks of a page, a line each behind a letter for the place; texts of blocks hold no line ends."""
+    return "\n".join((p[:1] or " ") + t for p, t in blocks(page))
+
+
+def unpacked(page: str) -> list[tuple[str, str]]:
+    return [(PLACES[line[0]], line[1:]) for line in page.split("\n")] if page else []
+
+
+def different(frame: pd.DataFrame) -> list[str]:
+    """The packed blocks of a group's pages; repeated rows are one page, else they would make each other's text boilerplate."""
+    return frame[["page_id", "url", "blocks"]].drop_duplicates()["blocks"].tolist()
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     small_batches(pages.sparkSession)
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host.alias("host"))
-    size = F.greatest(F.count("*") / GROUP, F.sum(F.octet_length("html")) / GROUP_BYTES)
-    sizes = written(rows.groupBy("host").agg(F.ceil(size).alias("groups")))
+    # ids go through pandas as text: longs beside a null would become doubles
+    rows = pages.select(F.col("page_id").cast("long").cast("string").alias("page_id"), "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host.alias("host"))
+    many = F.ceil(F.greatest(F.count("*") / GROUP, F.sum(F.octet_length("html")) / GROUP_BYTES))
+    enough = F.floor(F.approx_count_distinct(F.xxhash64("page_id", "url", "html")) / FEWEST)
+    sizes = written(rows.groupBy("host").agg(F.greatest(F.lit(1), F.least(many, enough)).cast("long").alias("groups")))
     few = F.broadcast(sizes) if sizes.count() <= FEW_HOSTS else sizes
 
     def read(frames):
         for f in frames:
-            yield f[["page_id", "url", "host"]].assign(blocks=[[(p[:1], t) for p, t in blocks(page)] for page in f["html"]])
-
-    def by_host(frame: pd.DataFrame) -> pd.DataFrame:
-        places = {"a": "article", "m": "main", "": ""}
-        found = [tuple((places[b["place"]], b["text"]) for b in page) for page in frame["blocks"]]
-        # repeated rows are one page, else they would make each other's text boilerplate
-        keys = list(zip(frame["page_id"].fillna(-1).tolist(), frame["url"].fillna("").tolist(), found))
-        once = sorted(set(keys), key=lambda k: (k[0], k[1], k[2]))
-        of = dict(zip(once, host_texts([list(page) for _, _, page in once])))
-        return frame[["page_id", "url"]].assign(text=[of[k] for k in keys])
-
-    dealt = rows.mapInPandas(read, "page_id long, url string, host string, blocks array<struct<place:string,text:string>>").join(few, "host")
-    dealt = dealt.withColumn("group", F.pmod(F.xxhash64("page_id", "url"), F.col("groups")))
-    # dealt by host and group, as a host alone would be one task
-    out = dealt.repartition("host", "group").groupBy("host", "group").applyInPandas(by_host, "page_id long, url string, text string")
-    return out.withColumn("n_chars", F.char_length("text").cast("long"))
+            yield f[["page_id", "url", "host"]].assign(blocks=pd.Series([packed(page) for page in f["html"]], f.index, object))
+
+    def in_group(frame: pd.DataFrame) -> pd.DataFrame:
+        found = different(frame)
+        groups = int(frame["groups"].iloc[0])
+        # the only group of a host decides; of several, one has its share of whatever has the host's
+        least = share(len(found)) if groups > 1 else max(LEAST, share(len(found)))
+        keys = frequent(words_of([[t for _, t in unpacked(page)] for page in found]), least, RUN)
+        return pd.DataFrame({"host": frame["host"].iloc[0], "groups": groups, "a": keys[:, 0], "b": keys[:, 1]})
+
+    def counted(frame: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
+        keys = runs[["a", "b"]].to_numpy(np.int64)
+        some, pages, of = keys[:0], np.zeros(0, np.int64), 0
+        if not frame.empty:
+            found = different(frame)
+            of = len(found)
+            if len(keys):
+                pages = pages_with(words_of([[t for _, t in unpacked(page)] for page in found]), keys, RUN)
+                some, pages = keys[pages > 0], pages[pages > 0]
+        # the first row holds the group's number of pages
+        one = (runs if frame.empty else frame).iloc[0]
+        a, b = np.concatenate([[[0, 0]], some]).T
+        return pd.DataFrame({"host": one["host"], "groups": int(one["groups"]), "a": a, "b": b, "pages": np.append(0, pages), "of": np.append(of, np.zeros_like(pages))})
+
+    def main(frame: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
+        found = texts([unpacked(page) for page in frame["blocks"]], runs[["a", "b"]].to_numpy(np.int64))
+        return frame[["page_id", "url"]].assign(text=pd.Series(found, frame.index, object))  # a group may have no pages
+
+    def by_group(runs: DataFrame):
+        """Each group's pages beside the runs of its host."""
+        every = runs.select("host", "groups", "a", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("group"))
+        return dealt.groupBy("host", "group").cogroup(every.groupBy("host", "group"))
+
+    dealt = rows.mapInPandas(read, "page_id string, url string, host string, blocks string").join(few, "host")
+    dealt = dealt.withColumn("group", F.pmod(F.xxhash64("page_id", "url", "blocks"), F.col("groups")))
+    # dealt by host and group, as a host alone would be one task; read three times from one shuffle
+    dealt = dealt.repartition("host", "group")
+    run = "host string, groups long, a long, b long"
+    runs = dealt.groupBy("host", "group").applyInPandas(in_group, run).distinct()
+    runs = by_group(runs).applyInPandas(counted, f"{run}, pages long, of long").groupBy("host", "groups", "a", "b").agg(F.sum("pages").alias("pages"), F.sum("of").alias("of"))
+    runs = runs.withColumn("of", F.sum("of").over(Window.partitionBy("host")))
+    runs = runs.where((F.col("pages") >= LEAST) & (F.col("pages") * 100 >= F.col("of") * int(SPREAD * 100)))
+    out = by_group(runs).applyInPandas(main, "page_id string, url string, text string")
+    return out.select(F.col("page_id").cast("long").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def op9(pages: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from lumaveil.llm import html as H
 
 
@@ -127,3 +129,37 @@ def test_long_attributes():
 def test_quotes_without_end_take_linear_time():
     for page in ("<a b=\"" + "<a '" * 100_000, "<a \"'\"'" * 50_000, "<a '\"" * 50_000, "<a x='" + "y" * 300_000, "<a \"<a '\" '" * 50_000):
         H.blocks(page)
+
+
+def test_boilerplate_is_of_the_whole_host_however_it_is_dealt(spark, monkeypatch):
+    rng = random.Random(8)
+    bars = [(" ".join(f"bar{k}w{j}" for j in range(3 + 4 * k)), p) for k, p in enumerate([0.1, 0.17, 0.19, 0.2, 0.21, 0.23, 0.3, 0.6])]
+    pages = [[b for b, p in bars if rng.random() < p] + [" ".join(f"w{rng.randrange(10**9)}" for _ in range(20))] for _ in range(90)]
+    sure = [rng.random() < 0.3 for _ in pages]  # these count, and keep their text
+    want = ["\n\n".join(page) if s else left for page, s, left in zip(pages, sure, brute_runs(pages, 12, 0.2))]
+    rows = [(i, f"http://h.example/{i}", ("<article>" if s else "") + "".join(f"<p>{b}</p>" for b in page)) for i, (page, s) in enumerate(zip(pages, sure))]
+    table = spark.createDataFrame(rows + rows[:9], "page_id long, url string, html string")
+    for group, size, fewest in ((2, 1 << 20, 1), (8, 1 << 20, 1), (64, 1000, 16)):  # alone, some, long pages
+        monkeypatch.setattr(H, "GROUP", group)
+        monkeypatch.setattr(H, "GROUP_BYTES", size)
+        monkeypatch.setattr(H, "FEWEST", fewest, raising=False)
+        got = H.op9(table).collect()
+        assert len(got) == 99 and all(r.text == want[r.page_id] for r in got), (group, size)
+
+
+def test_runs_of_groups_are_those_of_the_host():
+    rng = random.Random(4)
+    for case in range(40):
+        run = rng.choice([2, 3, 12])
+        pages = [[" ".join(rng.choice("abc") for _ in range(rng.randint(1, 18))) for _ in range(rng.randint(0, 4))] for _ in range(rng.randint(3, 25))]
+        groups = [pages[k::4] for k in range(4)]
+        keys = np.unique(np.concatenate([H.frequent(H.words_of(g), H.share(len(g)), run) for g in groups if g]), axis=0)
+        keys = keys[sum(H.pages_with(H.words_of(g), keys, run) for g in groups) >= max(3, H.share(len(pages)))]
+        assert H.without(pages, keys, run) == brute_runs(pages, run, 0.2), case
+
+
+def test_ids_beside_a_null_are_exact(spark):
+    big = 2**60
+    rows = [(None, None, "<p>a</p>"), (big, None, "<p>b</p>"), (big + 1, None, "<p>b</p>"), (big + 2, None, "<p>b</p>")]
+    got = H.op9(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()
+    assert {(r.page_id, r.text) for r in got} == {(None, "a"), (big, ""), (big + 1, ""), (big + 2, "")}
